@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, url_filter
+from . import bpe, gif, lz_fingerprint, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_lz_fingerprint": lz_fingerprint.op1_lz_fingerprint,
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_gif": gif.op5_gif,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
     }
 
 
