@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, lz_fingerprint, url_filter
+from . import bpe, gif, lz_fingerprint, packing, token_ids, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_lz_fingerprint": lz_fingerprint.op1_lz_fingerprint,
         "op3_url_filter": url_filter.op3_url_filter,
         "op5_gif": gif.op5_gif,
+        "op6_token_ids": token_ids.op6_token_ids,
+        "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_byte_bpe": bpe.op8_byte_bpe,
     }
 
