@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, lz_fingerprint, packing, simhash, token_ids, url_filter
+from . import bpe, gif, line_dedup, lz_fingerprint, packing, simhash, token_ids, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_token_ids": token_ids.op6_token_ids,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_line_dedup": line_dedup.op9_line_dedup,
         "op10_simhash": simhash.op10_simhash,
     }
 
