@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, line_dedup, lz_fingerprint, packing, simhash, token_ids, url_filter
+from . import bpe, gif, line_dedup, lz_fingerprint, packing, simhash, token_ids, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lz_fingerprint": lz_fingerprint.op1_lz_fingerprint,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_warc_audit": warc.op4_warc_audit,
         "op5_gif": gif.op5_gif,
         "op6_token_ids": token_ids.op6_token_ids,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc_audit": warc.AUDIT_SQL}
