@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, gif, line_dedup, lz_fingerprint, packing, simhash, token_ids, url_filter, warc
+from . import bpe, gif, line_dedup, lz_fingerprint, packing, quality, simhash, token_ids, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_lz_fingerprint": lz_fingerprint.op1_lz_fingerprint,
+        "op2_quality": quality.op2_quality,
         "op3_url_filter": url_filter.op3_url_filter,
         "op4_warc_audit": warc.op4_warc_audit,
         "op5_gif": gif.op5_gif,
