@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("snapshots",)
+MODULES = ("snapshots", "streams")
 
 
 def load() -> None:
