@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("snapshots", "streams")
+MODULES = ("joins", "snapshots", "streams")
 
 
 def load() -> None:
