@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("joins", "snapshots", "streams")
+MODULES = ("expressions", "joins", "snapshots", "streams")
 
 
 def load() -> None:
