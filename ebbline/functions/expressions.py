@@ -50,7 +50,7 @@ COMPOUND = {
 _TOKEN = re.compile(
     r"""\s*(?:(?P<hex>0[xX][0-9a-fA-F]+|[xX]'[0-9a-fA-F]*')|(?P<bit>0b[01]+|[bB]'[01]*')|(?P<num>(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)(?![\w$])
     |(?P<str>'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*")|(?P<quoted>`(?:[^`]|``)+`)|(?P<word>[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*)
-    |(?P<op>->>|<=>|->|<<|>>|<=|>=|<>|!=|\|\||&&|[-+*/%^|&~!=<>(),.])|(?P<end>$))""",
+    |(?P<op>->>|<=>|->|<<|>>|<=|>=|<>|!=|\|\||&&|[-+*/%^|&~!=<>(),.@:;?{}\[\]])|(?P<end>$))""",
     re.X | re.S,
 )
 _ESCAPES = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("expressions", "joins", "snapshots", "streams")
+MODULES = ("expressions", "joins", "snapshots", "state", "streams")
 
 
 def load() -> None:

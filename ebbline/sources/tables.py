@@ -10,7 +10,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as a keyed change log: seq, op (insert, update or delete), user_id as key, value as after image."""
+def as_event_log(events: DataFrame) -> DataFrame:
+    """Rows of ``events`` as a keyed change log: seq, op (insert, update or delete), user_id as key, value as after image."""
     op = F.when(F.col("event_type") == "signup", "insert").when(F.col("event_type") == "error", "delete").otherwise("update")
-    return table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), op.alias("op"), "user_id", "event_type", "value", "ts", "props")
+    return events.select(F.col("event_id").alias("seq"), op.alias("op"), "user_id", "event_type", "value", "ts", "props")
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_event_log(table(spark, sf_dir, "events"))
