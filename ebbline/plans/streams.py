@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import query
 from ..operators import filters, gtid, transactions
-from ..sources import tables
+from ..sources import binlog, tables
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,3 +296,32 @@ def txn8_sequence_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("txn9_poison_prefix", "SELECT event_id FROM events WHERE event_id < (SELECT min(event_id) FROM events WHERE event_type = 'error' AND value > 90)")
 def txn9_poison_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transactions.before_first_error(_events(spark, sf_dir), "event_id", (F.col("event_type") == "error") & (F.col("value") > 90)).select("event_id")
+
+
+# decoding
+
+
+@query("dec3_fingerprint", "SELECT event_id, sha256(props) AS sha256 FROM events")
+def dec3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", F.sha2(F.col("props").cast("binary"), 256).alias("sha256"))
+
+
+@query("dec12_operation", "SELECT event_id, CASE 23 + event_id % 10 WHEN 23 THEN 'insert' WHEN 30 THEN 'insert' WHEN 24 THEN 'update' WHEN 31 THEN 'update' WHEN 25 THEN 'delete' WHEN 32 THEN 'delete' END AS op FROM events")
+def dec12_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = 23 + F.col("event_id") % 10
+    table = F.create_map(*[F.lit(x) for pair in binlog.OPERATIONS.items() for x in pair])
+    return _events(spark, sf_dir).select("event_id", F.try_element_at(table, code.cast("int")).alias("op"))
+
+
+@query("snk8_summary_lines", "SELECT '{\"event_type\":\"' || event_type || '\",\"n\":' || count(*) || '}' AS line FROM events GROUP BY event_type")
+def snk8_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
+    return counts.select(F.to_json(F.struct("event_type", "n")).alias("line"))
+
+
+@query("dec8_packed_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def dec8_packed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates packed into 24 bits (year, month in 4, day in 5) and read back by bit arithmetic."""
+    packed = (F.year("o_orderdate") * 512 + F.month("o_orderdate") * 32 + F.dayofmonth("o_orderdate")).cast("int")
+    day = F.format_string("%04d-%02d-%02d", F.shiftright(packed, 9), F.shiftright(packed, 5).bitwiseAND(F.lit(15)), packed.bitwiseAND(F.lit(31)))
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
