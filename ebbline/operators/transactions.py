@@ -60,9 +60,12 @@ def transactions(assembled: DataFrame, order: str, kind: str, size: str, keys: l
     return groups.withColumn("outcome", outcome).withColumn("error", error).drop("end")
 
 
-def gaps(events: DataFrame, order: str, start: str, end: str, keys: list[str]) -> DataFrame:
-    """Events that don't start where the event before them ended."""
+def gaps(events: DataFrame, order: str, start: str, end: str, keys: list[str], excluded: DataFrame | None = None) -> DataFrame:
+    """Events that don't start where the event before them ended. excluded (keys, lo, hi): ranges that the source has left out, which are no gaps."""
     seen = running.previous(events, keys, order, _end=F.col(end))
+    if excluded is not None:
+        skipped = excluded.select(*keys, F.col("lo").alias("_end"), F.col("hi").alias(start)).distinct()
+        seen = seen.join(skipped, [*keys, "_end", start], "left_anti")
     return seen.where(F.col("_end").isNotNull() & (F.col("_end") != F.col(start))).withColumnRenamed("_end", "expected")
 
 

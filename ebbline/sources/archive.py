@@ -103,3 +103,9 @@ def read_relay(data: bytes) -> list[tuple[int, dict[str, Any], bytes]]:
         out.append((at, json.loads(data[at + 8 : at + 8 + head]), data[at + 8 + head : end]))
         at = end
     return out
+
+
+def preamble(events: DataFrame, file: str) -> str | None:
+    """The numbers executed before a file: its previous set, null where it has none. Only that file is read."""
+    row = events.where((F.col("file") == file) & (F.col("kind") == "previous_gtids")).select("gtid").first()
+    return row[0] if row else None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import ddl
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,3 +20,14 @@ def as_event_log(events: DataFrame) -> DataFrame:
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_event_log(table(spark, sf_dir, "events"))
+
+
+#: Spark types -> canonical column types.
+COLUMN_TYPES = {"tinyint": "tinyint", "smallint": "smallint", "int": "int", "bigint": "bigint", "float": "float", "double": "double", "string": "text", "binary": "blob", "date": "date", "timestamp": "timestamp", "timestamp_ntz": "datetime(6)", "boolean": "tinyint(1)"}
+
+
+def discover(df: DataFrame, primary_key: tuple[str, ...] = ()) -> ddl.Table:
+    """A table's schema from its DataFrame, with the given primary key."""
+    known = {k.lower() for k in primary_key}
+    columns = tuple(ddl.Column(f.name, COLUMN_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()), f.nullable and f.name.lower() not in known) for f in df.schema.fields)
+    return ddl.Table(columns, (ddl.Index("PRIMARY", primary_key, "primary"),) if primary_key else ())
