@@ -16,7 +16,6 @@ smallest; equal doc_ids keep a place each; other columns are ignored.
 from __future__ import annotations
 
 import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np

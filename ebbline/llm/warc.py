@@ -44,7 +44,7 @@ def archive(records: DataFrame, number: str, record: str) -> DataFrame:
     """records(number, record) -> leaves: segment, place, number, nth, offset, length, digest. One narrow shuffle by segment."""
     found = records.select(F.col(f"`{number}`").cast("long").alias("number"), F.octet_length(F.col(f"`{record}`")).cast("long").alias("length"), F.sha2(F.col(f"`{record}`").cast("binary"), 256).alias("digest"))
     strays = -1 - F.pmod(F.xxhash64("digest"), F.lit(SEGMENT))
-    segment = F.coalesce(F.floor(F.col("number") / SEGMENT), strays).cast("long")
+    segment = F.coalesce(F.shiftright("number", SEGMENT.bit_length() - 1), strays).cast("long")
     order = Window.partitionBy("segment").orderBy("number", "digest")
     alike = Window.partitionBy("segment", "number").orderBy("digest")
     return (
