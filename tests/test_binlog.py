@@ -132,6 +132,14 @@ def test_json_changes_and_paths():
     assert list(jsondoc.match_fields({"b": [1.5], "a": "x"})) == [("$", "OBJECT", None, 2), ('$."a"', "STRING", "x", None), ('$."b"', "ARRAY", None, 1), ('$."b"[0]', "DOUBLE", "1.5", None)]
 
 
+def test_opaque_years():
+    year = lambda text: jsondoc.Typed("OPAQUE", jsondoc.opaque_text(13, text))
+    assert jsondoc.years_to_integers({"a": [year(b"2026"), 1], "b": year(b"0")}) == {"a": [2026, 1], "b": 0}
+    for bad in (b"1900", b"2156", b"", b"20x6"):
+        with pytest.raises(jsondoc.JsonError):
+            jsondoc.years_to_integers(year(bad))
+
+
 def test_data_source_reads_folders(spark, tmp_path):
     for i in (1, 2):
         (tmp_path / f"bin.{i:06d}").write_bytes(bytes(sample().data))
