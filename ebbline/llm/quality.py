@@ -1,15 +1,15 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view.
 
 The text view is a logistic regression on hashed byte trigrams of the whole text,
-the metadata view one on language, source, length and layout counts. Over
-``ROUNDS`` rounds each view labels the documents of a pool of which it is most
-certain, and the other view is fitted with them added. Both are calibrated on
-labelled documents that no fit has seen, and a logistic combination of the two
-scores every document in one map-only pass.
+the metadata view one on language, source, length and layout counts. In each
+of ``ROUNDS`` rounds both views score all unlabelled documents; those of which a
+view is most certain go, with its label, to the other view, which is fitted with
+them added. Both are calibrated on labelled documents that no fit has seen, and a
+logistic combination of the two scores every document in one map-only pass.
 
-Bounds: the fit uses at most ``LABELLED`` labelled and ``POOL`` unlabelled
-documents, those whose hashed ids are smallest; their features (about 4 KB each) are
-what reaches the driver. Everything else reads all documents.
+Bounds: the fit uses at most ``LABELLED`` labelled documents, those whose hashed
+ids are smallest, and each view hands over ``EXCHANGE`` documents a round at most,
+the most certain of all; their features (about 4 KB each) are what reaches the driver.
 
 Defined results: null text is empty text; null language or source is a value of
 its own; several labels of a document count as the lowest; a null quality is no
@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 from . import common
 
 LABELLED = 3000
-POOL = 3000
-ROUNDS = 4
-#: Certainty that a pseudo-label needs, and the share of the pool handed over in a round at most.
-CERTAIN, SHARE = 0.95, 0.1
+ROUNDS = 3
+#: Pseudo-labels that a view hands over in a round at most, and the certainty that they need.
+EXCHANGE, CERTAIN = 300, 0.95
 #: A document is kept from this score on.
 THRESHOLD = 0.5
 TEXT_BITS = 11
@@ -129,39 +128,61 @@ class CoTrained:
         return _sigmoid(self.text_scale.logit(a)), _sigmoid(self.page_scale.logit(b)), _sigmoid(self.combined.logit(np.hstack([a, b])))
 
 
-def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_page: np.ndarray, rounds: int = ROUNDS) -> CoTrained:
+#: Models of both views -> for each view, features and labels of the documents that the other view hands to it.
+Proposals = Callable[[list[Logistic]], list[tuple[np.ndarray, np.ndarray]]]
+
+
+def quotas(y: np.ndarray, exchange: int = EXCHANGE) -> dict[int, int]:
+    """Documents of each label that a view hands over in a round: by the labels' shares, one at least."""
+    return {1: max(1, int(exchange * y.mean())), 0: max(1, int(exchange * (1 - y.mean())))}
+
+
+def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, propose: Proposals, rounds: int = ROUNDS) -> CoTrained:
     """Every fourth labelled row is held out for calibration; the rest and exchanged pseudo-labels fit the views."""
     held = np.arange(len(y)) % 4 == 3
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), dtype=bool)
     calibrate = held if held.any() else ~held
-    views = [(text, pool_text), (page, pool_page)]
-    given: list[dict[int, float]] = [{}, {}]  # of each view: pool row -> label from the other view
+    weight = {1.0: 0.5 / max(y.mean(), 1e-9), 0.0: 0.5 / max(1 - y.mean(), 1e-9)}
+    known = [([x[~held]], [y[~held]]) for x in (text, page)]
     models: list[Logistic] = []
-    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for turn in range(rounds + 1):
         models = []
-        for (x, pool), extra in zip(views, given, strict=True):
-            rows = np.array(sorted(extra), dtype=np.int64)
-            labels = np.array([extra[r] for r in rows])
-            weight = np.where(labels == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9)) if len(rows) else np.zeros(0)
-            models.append(fit_logistic(np.vstack([x[~held], pool[rows]]), np.r_[y[~held], labels], np.r_[balance[~held], weight]))
-        if turn == rounds or not len(pool_text):
-            break
-        for k, ((_, pool), model) in enumerate(zip(views, models, strict=True)):
-            sure = _sigmoid(model.logit(pool))
-            other = given[1 - k]
-            for label, certainty in ((1.0, sure), (0.0, 1 - sure)):
-                share = y.mean() if label else 1 - y.mean()
-                most = max(1, int(SHARE * len(pool) * share))
-                fresh = [int(r) for r in np.argsort(-certainty, kind="stable") if certainty[r] >= CERTAIN and int(r) not in other]
-                for r in fresh[:most]:
-                    other[r] = label
+        for rows, labels in known:
+            label = np.concatenate(labels)
+            models.append(fit_logistic(np.vstack(rows), label, np.where(label == 1, weight[1.0], weight[0.0])))
+        if turn < rounds:
+            for (rows, labels), (new, given) in zip(known, propose(models), strict=True):
+                if len(given):
+                    rows.append(new)
+                    labels.append(given)
     a, b = models[0].logit(text[calibrate])[:, None], models[1].logit(page[calibrate])[:, None]
     ones = np.ones(int(calibrate.sum()))
     return CoTrained(models[0], models[1], fit_logistic(a, y[calibrate], ones), fit_logistic(b, y[calibrate], ones), fit_logistic(np.hstack([a, b]), y[calibrate], ones))
 
 
+def from_pool(pool: list[np.ndarray], quota: dict[int, int]) -> Proposals:
+    """Proposals from feature matrices (text, page) of unlabelled documents in memory."""
+    used: list[set[int]] = [set(), set()]
+
+    def propose(models: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray]]:
+        sure = [_sigmoid(m.logit(x)) for m, x in zip(models, pool, strict=True)]
+        out = []
+        for k in (0, 1):
+            rows: list[int] = []
+            labels: list[float] = []
+            for label, most in quota.items():
+                certainty = sure[1 - k] if label else 1 - sure[1 - k]
+                best = [int(r) for r in np.argsort(-certainty, kind="stable") if certainty[r] >= CERTAIN and int(r) not in used[k]][:most]
+                used[k].update(best)
+                rows += best
+                labels += [float(label)] * len(best)
+            out.append((pool[k][rows], np.array(labels)))
+        return out
+
+    return propose
+
+
 def _view(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").cast("string").alias(c) for c in ("text", "lang", "source")])
 
@@ -171,34 +192,67 @@ def _smallest_ids(ids: DataFrame, count: int) -> list[tuple]:
     return [tuple(r) for r in ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(count).collect()]
 
 
-def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> CoTrained | None:
-    """Fits the model on the bounded sample; None without labels of both kinds."""
-    spark = documents.sparkSession
-    view = _view(documents)
-    ids = view.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    known = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`quality`").cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    chosen = dict(_smallest_ids(known.join(ids, "doc_id"), labelled))
-    if len(set(chosen.values())) < 2:
-        return None
-    unlabelled = [r[0] for r in _smallest_ids(ids.join(known, "doc_id", "left_anti"), pool)]
-    wanted = spark.createDataFrame([(i,) for i in [*chosen, *unlabelled]], "doc_id long")
+def _features_of(view: DataFrame, ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Features of the documents with the given ids (a bounded number, so that side may be broadcast)."""
 
     @F.pandas_udf("struct<text: binary, page: binary>")
     def features(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
         return pd.DataFrame({"text": [text_features(t).astype(np.float16).tobytes() for t in text], "page": [page_features(t, a, b).astype(np.float32).tobytes() for t, a, b in zip(text, lang, source, strict=True)]})
 
-    # at most labelled + pool ids, so this side may be broadcast
+    wanted = view.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = view.join(F.broadcast(wanted), "doc_id").select("doc_id", features("text", "lang", "source").alias("f")).select("doc_id", "f.text", "f.page").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["page"]), bytes(r["text"])))
-    first = {r["doc_id"]: r for r in reversed(rows)}
-
-    def matrix(keys: list[int], name: str, kind: type, width: int) -> np.ndarray:
-        return np.array([np.frombuffer(first[k][name], dtype=kind) for k in keys], dtype=np.float32).reshape(len(keys), width)
-
-    widths = (1 << TEXT_BITS, len(page_features("", None, None)))
-    yes, no = sorted(chosen), sorted(unlabelled)
-    y = np.array([chosen[k] for k in yes], dtype=float)
-    return co_train(matrix(yes, "text", np.float16, widths[0]), matrix(yes, "page", np.float32, widths[1]), y, matrix(no, "text", np.float16, widths[0]), matrix(no, "page", np.float32, widths[1]))
+    rows.sort(key=lambda r: (r["doc_id"], bytes(r["page"]), bytes(r["text"])), reverse=True)
+    return {r["doc_id"]: (np.frombuffer(r["text"], dtype=np.float16).astype(np.float32), np.frombuffer(r["page"], dtype=np.float32)) for r in rows}
+
+
+def _from_corpus(view: DataFrame, known: DataFrame, quota: dict[int, int]) -> Proposals:
+    """Proposals from all unlabelled documents: each round is one pass over the texts, which leaves two numbers a document."""
+    used: list[set[int]] = [set(), set()]
+
+    def propose(models: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray]]:
+        @F.pandas_udf("struct<p0: double, p1: double>")
+        def views(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
+            out = np.zeros((2, len(text)))
+            for at in range(0, len(text), 512):
+                cut = slice(at, at + 512)
+                out[0, cut] = _sigmoid(models[0].logit(np.array([text_features(t) for t in text.iloc[cut]])))
+                out[1, cut] = _sigmoid(models[1].logit(np.array([page_features(t, a, b) for t, a, b in zip(text.iloc[cut], lang.iloc[cut], source.iloc[cut], strict=True)])))
+            return pd.DataFrame(out.T, columns=["p0", "p1"])
+
+        scored = view.where("doc_id IS NOT NULL").select("doc_id", views("text", "lang", "source").alias("p")).select("doc_id", "p.*")
+        scored = common.written(scored.join(known.select("doc_id"), "doc_id", "left_anti"), "views")
+        picks: list[dict[int, float]] = []
+        for k in (0, 1):
+            found: dict[int, float] = {}
+            for label, most in quota.items():
+                sure = F.col(f"p{1 - k}") if label else 1 - F.col(f"p{1 - k}")
+                best = scored.where(sure >= CERTAIN).orderBy(sure.desc(), F.xxhash64("doc_id"), "doc_id").limit(most + len(used[k]))
+                fresh = [r[0] for r in best.select("doc_id").collect() if r[0] not in used[k] and r[0] not in found][:most]
+                found |= dict.fromkeys(fresh, float(label))
+            used[k].update(found)
+            picks.append(found)
+        features = _features_of(view, sorted({*picks[0], *picks[1]}))
+        out = []
+        for k, found in enumerate(picks):
+            ids = sorted(i for i in found if i in features)
+            out.append((np.array([features[i][k] for i in ids], dtype=np.float32), np.array([found[i] for i in ids])))
+        return out
+
+    return propose
+
+
+def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, exchange: int = EXCHANGE, rounds: int = ROUNDS) -> CoTrained | None:
+    """Fits the model; None without labels of both kinds."""
+    view = _view(documents)
+    ids = view.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    known = labels.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`quality`").cast("int").alias("quality")).where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    chosen = dict(_smallest_ids(known.join(ids, "doc_id"), labelled))
+    if len(set(chosen.values())) < 2:
+        return None
+    features = _features_of(view, sorted(chosen))
+    keys = sorted(features)
+    y = np.array([chosen[k] for k in keys], dtype=float)
+    return co_train(*(np.array([features[k][v] for k in keys], dtype=np.float32) for v in (0, 1)), y, _from_corpus(view, known, quotas(y, exchange)), rounds)
 
 
 def scorer(model: CoTrained | None) -> Callable[..., Column]:

@@ -15,7 +15,7 @@ def test_held_out_accuracy():
     p = np.array([quality.page_features(*r[:3]) for r in known + other])
     y = np.array([r[3] for r in known], dtype=float)
     n, k = len(known), len(known) * 2 // 3
-    model = quality.co_train(x[:k], p[:k], y[:k], x[n:], p[n:])
+    model = quality.co_train(x[:k], p[:k], y[:k], quality.from_pool([x[n:], p[n:]], quality.quotas(y[:k], 60)))
     scores = model.scores(x[k:n], p[k:n])
     assert np.mean((scores[2] >= 0.5) == y[k:]) >= 0.95
     assert np.mean(scores[2][y[k:] == 1] < 0.5) <= 0.02
