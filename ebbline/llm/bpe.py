@@ -4,8 +4,10 @@ A tokenisation is the BPE result exactly where each two neighbours are what BPE
 makes of their joined bytes. So for each prefix of the input one token can end
 there, and the transducer reads bytes from left to right, keeps the candidates
 that a longer token could still overrule, and emits a token as soon as all
-candidates agree on it (the lookahead is bounded by the longest token). States are
-built when first reached and kept in a bounded table.
+candidates agree on it (the lookahead is bounded by the longest token). Sets of
+candidates become states when first reached, up to a bounded number; input that
+leaves the states known by then is run on the candidates themselves, as lazy
+automata do when their table is full.
 
 Defined results: null text is empty text and has no tokens; other columns are
 ignored.
@@ -14,7 +16,6 @@ ignored.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import re
 from array import array
@@ -25,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import common
 
-#: Entries of the tables of states and of words before they are emptied and built anew.
-MAX_STATES = 250_000
-MAX_WORDS = 250_000
+#: States that are built; pieces that leave them are run on the candidates themselves.
+MAX_STATES = 30_000
+#: Token pairs, and words in each of two generations, that a process remembers.
+MAX_PAIRS = 500_000
+MAX_WORDS = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,15 +72,8 @@ class Transducer:
         self.tokens = {r: t for t, r in ranks.items()}
         self.begun = {t[:i] for t in ranks for i in range(1, len(t))}
         self.max_states = max_states
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self._reset()
-
-    def _reset(self) -> None:
-        if getattr(self, "states", None):
-            self.states.clear()
-            self.start = None
-            gc.collect()  # states point at each other
         self.states: dict[tuple[int, bytes], _State] = {}
         self.start = self._state(-1, b"", [(0, ())])
 
@@ -101,9 +96,11 @@ class Transducer:
         Going back through the merges that made the edges of a and b, the latest
         first, no merge across the boundary may come before the one undone.
         """
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 20 | b)
         if known is not None:
             return known
+        if len(self.pairs) >= MAX_PAIRS:
+            self.pairs.clear()
         good = len(self.tokens[b]) == 1 or self._halves(b) is not None
         if good and a >= 0:
             ranks, tokens = self.ranks, self.tokens
@@ -122,7 +119,7 @@ class Transducer:
                     before, x = made_x, self._halves(x)[1]
                 else:
                     before, y = made_y + 1, self._halves(y)[0]
-        self.pairs[a, b] = good
+        self.pairs[a << 20 | b] = good
         return good
 
     def _build(self, state: _State, byte: int) -> tuple[_State, tuple[int, ...]]:
@@ -159,19 +156,79 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > self.max_states:
-            self._reset()
-        if len(self.pairs) > 8 * self.max_states:
-            self.pairs.clear()
         out: list[int] = []
         state = self.start
-        for byte in piece:
-            step = state.then.get(byte) or self._build(state, byte)
+        for i, byte in enumerate(piece):
+            step = state.then.get(byte)
+            if step is None:
+                if len(self.states) >= self.max_states:
+                    return self._run(piece, i - len(state.pending), state.last, out)
+                step = self._build(state, byte)
             state = step[0]
             if step[1]:
                 out += step[1]
         return out + list(state.tail)
 
+    @cached_property
+    def _trie(self) -> tuple[dict[int, int], list[int]]:
+        """(node << 8 | byte -> node, token of each node or -1); the root is 0."""
+        step: dict[int, int] = {}
+        token = [-1]
+        for bytes_, rank in self.ranks.items():
+            node = 0
+            for byte in bytes_:
+                next_ = step.get(node << 8 | byte)
+                if next_ is None:
+                    next_ = step[node << 8 | byte] = len(token)
+                    token.append(-1)
+                node = next_
+            token[node] = rank
+        return step, token
+
+    def _run(self, piece: bytes, at: int, before: int, out: list[int]) -> list[int]:
+        """The same without states: adds the tokens of piece[at:] to out, after the settled token ``before``.
+
+        The longest token that may follow is taken first. The tokens up to a place are the only ones that can end there,
+        so a place from which nothing fits is given up for good, and the token before it is replaced by a shorter one.
+        """
+        step, token_of = self._trie
+        pairs, joined, walk = self.pairs, self._joined, step.get
+        size = len(piece)
+        given_up: set[int] = set()
+        choices: list[list[tuple[int, int]]] = []  # of each place on the way: tokens that begin there, shortest first
+        way: list[tuple[int, int]] = []  # (place, token before it)
+        while at < size:
+            node, end, found = 0, at, []
+            for byte in piece[at:]:
+                node = walk(node << 8 | byte)
+                if node is None:
+                    break
+                end += 1
+                if token_of[node] >= 0:
+                    found.append((token_of[node], end))
+            while True:
+                while found:
+                    token, end = found.pop()
+                    if end in given_up:
+                        continue
+                    good = pairs.get(before << 20 | token)
+                    if good is None:
+                        good = joined(before, token)
+                    if good:
+                        break
+                else:
+                    if not way:
+                        raise ValueError("the ranks leave bytes without a token")
+                    given_up.add(at)
+                    at, before = way.pop()
+                    found = choices.pop()
+                    continue
+                way.append((at, before))
+                choices.append(found)
+                at, before = end, token
+                break
+        return [*out, *[token for _, token in way[1:]], before] if way else out
+
 
 class Utf8Machine:
     """Incremental UTF-8: takes bytes in any cuts, gives text, and holds back an unfinished character.
@@ -220,20 +277,23 @@ class Utf8Machine:
         return rest.decode("utf-8", "replace")
 
 
-class _Words(dict):
-    """Segment of text after a space -> its ids as bytes; None for one that is not a unit of its own."""
+class Remembered(dict):
+    """key -> make(key), for the keys of the last two generations of ``limit`` keys each."""
 
-    def __init__(self, encode, limit: int = MAX_WORDS) -> None:
+    def __init__(self, make, limit: int = MAX_WORDS) -> None:
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, segment: str) -> bytes:
-        if len(self) >= self.limit:
-            self.clear()
-        ids = self.encode(segment)
-        if len(segment) <= 64:
-            self[segment] = ids
-        return ids
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
 
 
 class ByteBpe:
@@ -254,17 +314,35 @@ class ByteBpe:
     def transducer(self) -> Transducer:
         return Transducer(load_ranks(self.path))
 
+    @cached_property
+    def tokens(self) -> dict[int, bytes]:
+        return {rank: token for token, rank in load_ranks(self.path).items()}
+
     @cached_property
     def _matches(self):
         return regex.compile(self.pattern).findall
 
     @cached_property
-    def _after_space(self) -> _Words:
-        return _Words(lambda s: self._unit(" " + s) if s and not s[-1].isspace() else None)
+    def _after_space(self) -> Remembered:
+        return Remembered(self._segment)
+
+    @cached_property
+    def _pieces(self) -> Remembered:
+        return Remembered(lambda piece: array("I", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes())
+
+    def _segment(self, text: str) -> bytes | None:
+        """The ids of a segment and the space before it; None if it doesn't end where a unit ends."""
+        if self._letters_first:
+            if text.isalpha():
+                return self._pieces[" " + text]
+            if text[-1:] in _MARKS and text[:-1].isalpha():
+                return self._pieces[" " + text[:-1]] + self._pieces[text[-1]]
+        return self._unit(" " + text) if text and not text[-1].isspace() else None
 
     @cached_property
-    def _pieces(self) -> _Words:
-        return _Words(lambda piece: array("I", self.transducer.encode(piece.encode("utf-8", "surrogatepass"))).tobytes())
+    def _letters_first(self) -> bool:
+        """Whether the pattern takes a space and letters as one match, and a mark after letters as one of its own."""
+        return self._matches(" Aé字ǅʰ") == [" Aé字ǅʰ"] and all(self._matches(f" ab{m}") == [" ab", m] for m in _MARKS)
 
     def _unit(self, text: str) -> bytes:
         return b"".join(map(self._pieces.__getitem__, self._matches(text)))
@@ -285,7 +363,7 @@ class ByteBpe:
 
     def stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """Text as the ids arrive: an unfinished character waits for its other bytes."""
-        machine, part, tokens = Utf8Machine(), [], self.transducer.tokens
+        machine, part, tokens = Utf8Machine(), [], self.tokens
         for i in ids:
             part.append(tokens[i])
             if len(part) >= chunk:
@@ -298,6 +376,7 @@ class ByteBpe:
         return "".join(self.stream(ids, 1 << 16))
 
 
+_MARKS = frozenset(".,;:!?%$#&*|")
 _MADE: dict[tuple[str, str], ByteBpe] = {}
 
 

@@ -15,10 +15,10 @@ from functools import cached_property
 
 import regex
 
-#: Words and pieces kept before the tables are emptied and filled anew.
-MAX_WORDS = 300_000
+from .bpe import Remembered
 
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ÿ]+").fullmatch
+_MARKS = frozenset(".,;:!?%$#&*|")
 #: White space by Python but not by Unicode: such a text is encoded whole.
 _CONTROL = regex.compile("[\x1c-\x1f]").search
 
@@ -30,20 +30,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(extra)) for b in range(256)]
 
 
-class _Kept(dict):
-    def __init__(self, make) -> None:
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= MAX_WORDS:
-            self.clear()
-        value = self.make(key)
-        if len(key) <= 64:
-            self[key] = value
-        return value
-
-
 class WordEncoder:
     def __init__(self, path: str) -> None:
         self.path = path
@@ -75,20 +61,32 @@ class WordEncoder:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     @cached_property
-    def _pieces(self) -> _Kept:
+    def _pieces(self) -> Remembered:
         letters, model = byte_letters(), self.tokenizer.model
-        return _Kept(lambda piece: array("I", [t.id for t in model.tokenize("".join([letters[b] for b in piece.encode()]))]).tobytes())
+
+        def make(piece: str) -> bytes:
+            plain = piece if piece.isascii() and piece.isprintable() else "".join([letters[b] for b in piece.encode()])
+            return array("I", [t.id for t in model.tokenize(plain)]).tobytes()
+
+        return Remembered(make)
 
     @cached_property
-    def _words(self) -> _Kept:
+    def _words(self) -> Remembered:
         find, pieces = regex.compile(self._pattern).findall, self._pieces
 
+        letters_first = find("aé") == ["aé"] and all(find(f"ab{m}") == ["ab", m] for m in _MARKS)
+
         def make(word: str) -> bytes:
+            if letters_first and max(word) <= "ÿ":
+                if word.isalpha():
+                    return pieces[word.lower()]
+                if word[-1] in _MARKS and word[:-1].isalpha():
+                    return pieces[word[:-1].lower()] + pieces[word[-1]]
             if _PLAIN(word) and "<|" not in word:
                 return b"".join(map(pieces.__getitem__, find(word.lower())))
             return self._library(word)
 
-        return _Kept(make)
+        return Remembered(make)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
