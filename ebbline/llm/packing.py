@@ -233,7 +233,8 @@ def place_pieces(pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
 
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counted.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    ranked = pieces.join(bases, ["part", "length"])
+    # bases has a row for each length in each part and grows with the parts, so it is never broadcast
+    ranked = pieces.join(bases.hint("merge"), ["part", "length"])
     placed = ranked.withColumn("at", place("length", F.col("base") + F.col("rank_in_part")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "at.sequence_id", "at.offset")
 
