@@ -20,11 +20,11 @@ columns, however named, are kept by ``keep_good``.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,6 +183,16 @@ def from_pool(pool: list[np.ndarray], quota: dict[int, int]) -> Proposals:
     return propose
 
 
+def _slices(text: pa.Array, lang: pa.Array, source: pa.Array, rows: int = 256) -> Iterator[list[tuple]]:
+    """Rows of (text, lang, source) as Python values, a few at a time: a batch of long texts is never held twice."""
+    for at in range(0, len(text), rows):
+        yield list(zip(*(c.slice(at, rows).to_pylist() for c in (text, lang, source)), strict=True))
+
+
+def _matrices(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([text_features(t) for t, _, _ in rows]), np.array([page_features(*r) for r in rows])
+
+
 def _view(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").cast("string").alias(c) for c in ("text", "lang", "source")])
 
@@ -195,9 +205,11 @@ def _smallest_ids(ids: DataFrame, count: int) -> list[tuple]:
 def _features_of(view: DataFrame, ids: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Features of the documents with the given ids (a bounded number, so that side may be broadcast)."""
 
-    @F.pandas_udf("struct<text: binary, page: binary>")
-    def features(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"text": [text_features(t).astype(np.float16).tobytes() for t in text], "page": [page_features(t, a, b).astype(np.float32).tobytes() for t, a, b in zip(text, lang, source, strict=True)]})
+    @F.arrow_udf("struct<text: binary, page: binary>")
+    def features(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+        rows = [r for part in _slices(text, lang, source) for r in part]
+        made = [pa.array([text_features(t).astype(np.float16).tobytes() for t, _, _ in rows], pa.binary()), pa.array([page_features(*r).astype(np.float32).tobytes() for r in rows], pa.binary())]
+        return pa.StructArray.from_arrays(made, ["text", "page"])
 
     wanted = view.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
     rows = view.join(F.broadcast(wanted), "doc_id").select("doc_id", features("text", "lang", "source").alias("f")).select("doc_id", "f.text", "f.page").collect()
@@ -210,14 +222,13 @@ def _from_corpus(view: DataFrame, known: DataFrame, quota: dict[int, int]) -> Pr
     used: list[set[int]] = [set(), set()]
 
     def propose(models: list[Logistic]) -> list[tuple[np.ndarray, np.ndarray]]:
-        @F.pandas_udf("struct<p0: double, p1: double>")
-        def views(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
-            out = np.zeros((2, len(text)))
-            for at in range(0, len(text), 512):
-                cut = slice(at, at + 512)
-                out[0, cut] = _sigmoid(models[0].logit(np.array([text_features(t) for t in text.iloc[cut]])))
-                out[1, cut] = _sigmoid(models[1].logit(np.array([page_features(t, a, b) for t, a, b in zip(text.iloc[cut], lang.iloc[cut], source.iloc[cut], strict=True)])))
-            return pd.DataFrame(out.T, columns=["p0", "p1"])
+        @F.arrow_udf("struct<p0: double, p1: double>")
+        def views(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+            out = [np.zeros((2, 0))]
+            for rows in _slices(text, lang, source):
+                x, p = _matrices(rows)
+                out.append(np.vstack([_sigmoid(models[0].logit(x)), _sigmoid(models[1].logit(p))]))
+            return pa.StructArray.from_arrays([pa.array(c) for c in np.hstack(out)], ["p0", "p1"])
 
         scored = view.where("doc_id IS NOT NULL").select("doc_id", views("text", "lang", "source").alias("p")).select("doc_id", "p.*")
         scored = common.written(scored.join(known.select("doc_id"), "doc_id", "left_anti"), "views")
@@ -258,15 +269,14 @@ def train(documents: DataFrame, labels: DataFrame, labelled: int = LABELLED, exc
 def scorer(model: CoTrained | None) -> Callable[..., Column]:
     """A function of the columns (text, lang, source): struct of p_text, p_page, score. One pass over whole texts."""
 
-    @F.pandas_udf("struct<p_text: double, p_page: double, score: double>")
-    def score(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFrame:
-        out = np.ones((3, len(text)))
-        for at in range(0, len(text), 512) if model is not None else ():
-            cut = slice(at, at + 512)
-            x = np.array([text_features(t) for t in text.iloc[cut]])
-            p = np.array([page_features(t, a, b) for t, a, b in zip(text.iloc[cut], lang.iloc[cut], source.iloc[cut], strict=True)])
-            out[:, cut] = model.scores(x, p)
-        return pd.DataFrame(out.T, columns=["p_text", "p_page", "score"])
+    @F.arrow_udf("struct<p_text: double, p_page: double, score: double>")
+    def score(text: pa.Array, lang: pa.Array, source: pa.Array) -> pa.Array:
+        out = [np.zeros((3, 0))]
+        if model is None:
+            out.append(np.ones((3, len(text))))
+        else:
+            out += [np.vstack(model.scores(*_matrices(rows))) for rows in _slices(text, lang, source)]
+        return pa.StructArray.from_arrays([pa.array(c) for c in np.hstack(out)], ["p_text", "p_page", "score"])
 
     return score
 
