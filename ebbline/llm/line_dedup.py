@@ -1,27 +1,34 @@
-"""Line dedup by pairwise alignment: a later document loses the blocks that it shares with earlier ones.
+"""Line dedup by alignment: a later document loses the blocks that it shares with earlier ones.
 
 A document is read as lines, and a line is cut further at sentence ends whose
 last letter is one of ``CUT_AFTER``: the cuts depend on the text around them alone,
 so a passage inside a long line is cut alike in every document. Each such piece is
-a line in what follows.
+a line in what follows; pieces without words are passed over.
 
-A shared line links each document to the first document (smallest doc_id) that
-holds it, whatever its frequency: one link for each line and document, so no
-group of documents is paired with itself and no frequency is left out. The lines
-that two linked documents share are aligned by patience diff: rare lines (at most
-``RARE`` places in the corpus) anchor the alignment by a longest increasing run,
-frequent ones fill the gaps. Aligned lines that adjoin in both documents are a
-block; blocks of at least ``MIN_WORDS`` words are deleted from the later one.
+A block is a run of lines of at least ``MIN_WORDS`` words that stands, line by line,
+in two documents. The later one loses it, wherever it stands in either and however
+often its lines occur. To find the blocks of all pairs without forming pairs, each
+line gives the shortest run of enough words that starts with it and the shortest
+that ends with it (``windows``). The first line of a block starts such a run within
+the block, and each line after that run ends one, so the runs that an earlier
+document holds cover exactly the lines of all blocks. One row for each run is
+joined to the smallest doc_id that holds it; no frequency is left out.
+
+``align`` and ``blocks`` (patience diff of one pair) are not on the query's path:
+what they delete for any pair is a part of what the runs give, which holds moved
+and repeated blocks too.
 
 Defined results: documents with a null doc_id or text stay as they are and hold
-back nothing; rows that repeat a doc_id are not compared with each other; a
-document may lose all its text and then has the empty text; other columns, however
-named, are kept.
+back nothing; rows that repeat a doc_id are not compared with each other, but what
+one of them loses goes from each that holds it at the same line; a document may
+lose all its text and then has the empty text; other columns, however named, are
+kept.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -50,33 +57,70 @@ def line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line.strip().encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def document_lines(documents: DataFrame) -> DataFrame:
-    """documents(doc_id, text) -> hash, doc_id, line (its number), words; lines without words are left out."""
+def windows(hashes: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(start, stop, hash) of the shortest runs of ``least`` words that start or end with each line; each run once."""
+    out = []
+    for i, count in enumerate(words):
+        if count >= least:
+            out.append((i, i + 1, hashes[i]))
+            continue
+        stop, total = i + 1, count
+        while total < least and stop < len(words):
+            total += words[stop]
+            stop += 1
+        if total >= least:
+            out.append((i, stop, run_hash(hashes[i:stop])))
+        start, total = i, count
+        while total < least and start:
+            start -= 1
+            total += words[start]
+        if total - count >= least or (total >= least and words[start] >= least):  # else the run from start is the same
+            out.append((start, i + 1, run_hash(hashes[start : i + 1])))
+    return out
+
+
+EMPTY = line_hash("")
+
+
+def run_hash(hashes: list[int]) -> int:
+    return xxhash.xxh64_intdigest(array("q", hashes).tobytes()) - (1 << 63)
+
+
+def text_windows(text: str, least: int) -> tuple[list[tuple[int, int, int]], list[int], list[int]]:
+    """Windows of the lines with words, their numbers among all lines, and their hashes."""
+    number, words, hashes = [], [], []
+    for n, line in enumerate(lines_of(text)[::2]):
+        count = len(line.split())
+        if count:
+            number.append(n)
+            words.append(count)
+            hashes.append(line_hash(line))
+    return windows(hashes, words, least), number, hashes
+
+
+def document_windows(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """documents(doc_id, text) -> hash, doc_id, line (the place of the run's first line among those with words)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(stream, 2 << 20):
-            hashes, row, number, words = [], [], [], []
+            hashes, row, start = [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for n, line in enumerate(lines_of(text)[::2]):
-                    count = len(line.split())
-                    if count:
-                        hashes.append(line_hash(line))
-                        row.append(i)
-                        number.append(n)
-                        words.append(count)
+                found = text_windows(text, least)[0]
+                start += [w[0] for w in found]
+                hashes += [w[2] for w in found]
+                row += [i] * len(found)
             ids = batch.column(0).take(pa.array(row, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), ids, pa.array(number, pa.int32()), pa.array(words, pa.int32())], names=["hash", "doc_id", "line", "words"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), ids, pa.array(start, pa.int32())], names=["hash", "doc_id", "line"])
 
     known = documents.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return known.mapInArrow(run, "hash long, doc_id long, line int, words int")
+    return known.mapInArrow(run, "hash long, doc_id long, line int")
 
 
-def shared_lines(documents: DataFrame, rare: int = RARE) -> DataFrame:
-    """doc_id, line, words, hash, first_doc, first_line, rare: each line that an earlier document holds, and where it first stands."""
-    lines = document_lines(documents)
-    first = lines.groupBy("hash").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n")).where("last > first.doc_id")
-    first = first.select("hash", F.col("first.doc_id").alias("first_doc"), F.col("first.line").alias("first_line"), (F.col("n") <= rare).alias("rare"))
-    return lines.join(first, "hash").where("doc_id > first_doc").select("doc_id", "first_doc", "line", "first_line", "words", "hash", "rare")
+def shared_windows(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """doc_id, line, hash: each run that an earlier document holds."""
+    runs = document_windows(documents, least)
+    first = runs.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("last > first_doc").select("hash", "first_doc")
+    return runs.join(first, "hash").where("doc_id > first_doc").select("doc_id", "line", "hash")
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -138,41 +182,17 @@ def blocks(pairs: list[tuple[int, int, bool]], words: list[int], least: int) ->
     return out
 
 
-def doomed_lines(documents: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """doc_id, line, hash of the lines to delete. A task holds whole documents; it keeps one pair's shared lines at a time."""
-    names = ["doc_id", "line", "hash"]
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        pairs: list[tuple[int, int, bool]] = []
-        words: list[int] = []
-        hashes: list[int] = []
-        out: list[tuple] = []
-
-        def close() -> None:
-            for i in blocks(pairs, words, min_words):
-                out.append((held[0], pairs[i][0], hashes[i]))
-
-        for batch in stream:
-            for doc, first, line, first_line, count, h, is_rare in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (doc, first) != held:
-                    if held is not None:
-                        close()
-                    held, pairs, words, hashes = (doc, first), [], [], []
-                pairs.append((line, first_line, is_rare))
-                words.append(count)
-                hashes.append(h)
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=names)
-                out = []
-        if held is not None:
-            close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64()), strict=True)], names=names)
-
-    parts = common.shuffle_parts(documents.sparkSession)
-    dealt = shared_lines(documents, rare).repartition(parts, "doc_id").sortWithinPartitions("doc_id", "first_doc", "line")
-    return dealt.mapInArrow(run, "doc_id long, line int, hash long")
+def doomed_lines(text: str, shared: set[tuple[int, int]], least: int = MIN_WORDS) -> dict[int, int]:
+    """Number -> hash of the lines in shared runs (first line's place, hash); lines without words between two of a run go too."""
+    found, number, hashes = text_windows(text, least)
+    gone: dict[int, int] = {}
+    for start, stop, h in found:
+        if (start, h) in shared:
+            for n in range(number[start], number[stop - 1]):
+                gone.setdefault(n, EMPTY)
+            for k in range(start, stop):
+                gone[number[k]] = hashes[k]
+    return gone
 
 
 def without_lines(text: str, gone: dict[int, int]) -> str:
@@ -188,19 +208,24 @@ def without_lines(text: str, gone: dict[int, int]) -> str:
     return "".join(keep)
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """(d struct: the row of documents as it was, text: what is left of it, removed: lines deleted)."""
-    doomed = doomed_lines(documents, min_words, rare).groupBy("doc_id").agg(F.collect_list(F.struct("line", "hash")).alias("gone"))
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(d struct: the row of documents as it was, text: what is left of it, removed: lines with words deleted)."""
+    shared = shared_windows(documents, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("line", "hash")).alias("shared"))
 
-    @F.pandas_udf("string")
-    def rest(texts: pd.Series, numbers: pd.Series, hashes: pd.Series) -> pd.Series:
-        return pd.Series([t if n is None or t is None else without_lines(t, dict(zip(np.asarray(n).tolist(), np.asarray(h).tolist(), strict=True))) for t, n, h in zip(texts, numbers, hashes, strict=True)], dtype=object)
+    @F.pandas_udf("text string, removed int")
+    def rest(texts: pd.Series, places: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+        left, removed = [], []
+        for text, at, found in zip(texts, places, hashes, strict=True):
+            gone = {} if at is None or text is None else doomed_lines(text, set(zip(np.asarray(at).tolist(), np.asarray(found).tolist(), strict=True)), min_words)
+            left.append(without_lines(text, gone) if gone else text)
+            removed.append(sum(h != EMPTY for h in gone.values()))
+        return pd.DataFrame({"text": pd.Series(left, dtype=object), "removed": pd.Series(removed, dtype="int32")})
 
     rows = documents.select(F.struct("*").alias("d"))
-    joined = rows.join(doomed, F.col("d")["doc_id"].cast("long") == F.col("doc_id"), "left")
-    left = F.when(F.col("gone").isNull(), F.col("d")["text"]).otherwise(F.col("made"))
-    made = joined.withColumn("made", rest(F.when(F.col("gone").isNotNull(), F.col("d")["text"]), F.col("gone")["line"], F.col("gone")["hash"]))
-    return made.select("d", left.alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("removed"))
+    joined = rows.join(shared, F.col("d")["doc_id"].cast("long") == F.col("doc_id"), "left")
+    made = joined.withColumn("made", rest(F.when(F.col("shared").isNotNull(), F.col("d")["text"]), F.col("shared")["line"], F.col("shared")["hash"]))
+    left = F.when(F.col("shared").isNull(), F.col("d")["text"]).otherwise(F.col("made")["text"])
+    return made.select("d", left.alias("text"), F.coalesce(F.col("made")["removed"], F.lit(0)).alias("removed"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

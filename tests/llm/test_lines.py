@@ -1,3 +1,5 @@
+import random
+
 from ebbline.llm import line_dedup as ld
 from tests.llm import fixtures
 
@@ -47,3 +49,36 @@ def test_against_sequential_code(spark):
     after = {i: t for i, t, _ in found}
     assert passage in after[200] and "second line" not in after[201] + after[202] + after[203] and "Own" in after[200] and "Other begin" in after[201] and "own end" in after[202]
     assert ld.dedup_lines(fixtures.empty_documents(spark)).collect() == []
+
+
+def all_pairs(docs):
+    """What is left by comparing every line of every pair: a line goes with a run of equal lines of five words or more."""
+    known = sorted((i, t) for i, t in docs if i is not None and t is not None)
+    lines = [[(n, x.strip(), len(x.split())) for n, x in enumerate(ld.lines_of(t)[::2]) if x.split()] for _, t in known]
+    left = {}
+    for k, (doc, text) in enumerate(known):
+        own, gone = lines[k], set()
+        for e in range(k):
+            if known[e][0] == doc:
+                continue
+            for a in range(len(own)):
+                for b in range(len(lines[e])):
+                    n = 0
+                    while a + n < len(own) and b + n < len(lines[e]) and own[a + n][1] == lines[e][b + n][1]:
+                        n += 1
+                    if sum(x[2] for x in own[a : a + n]) >= 5:
+                        gone |= {x[0] for x in own[a : a + n]}
+        left[doc] = [x[1] for x in own if x[0] not in gone]
+    return left
+
+
+def test_blocks_of_any_pair(spark):
+    block = "That.\nAn original sentence of several words.\n|\nOther words stand here as well.\n|\nThat."
+    docs = [(1, "That.\nfirst holder of short lines\n|"), (2, block), (3, block), (4, f"own start of this one\n{block}\nown end"), (5, "Other words stand here as well.\n|\nThat.\nmoved\nThat.\nAn original sentence of several words.")]
+    r = random.Random(5)
+    docs += [(10 + i, "\n".join(r.choice(["a", "b", "c d", "e f g", "h i j k l"]) for _ in range(r.randrange(12)))) for i in range(60)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = ld.dedup_lines(table).collect()
+    left = {x.d.doc_id: [y.strip() for y in ld.lines_of(x.text)[::2] if y.split()] for x in rows}
+    assert left == all_pairs(docs) and left[3] == [] and left[4] == ["own start of this one", "own end"] and left[5] == ["moved"]
+    assert {x.d.doc_id: x.removed for x in rows}[4] == 6
