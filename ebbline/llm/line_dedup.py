@@ -1,9 +1,10 @@
 """Line dedup by alignment: a later document loses the blocks that it shares with earlier ones.
 
-A document is read as lines, and a line is cut further at sentence ends whose
-last letter is one of ``CUT_AFTER``: the cuts depend on the text around them alone,
-so a passage inside a long line is cut alike in every document. Each such piece is
-a line in what follows; pieces without words are passed over.
+A document is read as lines, and a line is cut further at every sentence end: after
+one of ``ENDS`` with any closing quotes or brackets where white space follows, and
+after one of ``WIDE_ENDS`` with or without it. The cuts depend on the text around
+them alone, so a passage inside a long line is cut alike in every document. Each such
+piece is a line in what follows; pieces without words are passed over.
 
 A block is a run of lines of at least ``MIN_WORDS`` words that stands, line by line,
 in two documents. The later one loses it, wherever it stands in either and however
@@ -43,8 +44,10 @@ from . import common
 
 MIN_WORDS = 5
 RARE = 100
-CUT_AFTER = "bdfhjlnprtvxz"
-_CUT = re.compile(rf"(\n+|(?<=[{CUT_AFTER}][.!?])[ \t]+)")
+ENDS = ".!?…।॥؟۔։።"
+WIDE_ENDS = "。！？｡"
+_CLOSE = "\"'”’»)\\]}）」』"
+_CUT = re.compile(rf"(\n+|(?<=[{ENDS}{WIDE_ENDS}{_CLOSE}])(?:(?:(?<=[{ENDS}])|(?<=[{ENDS}][{_CLOSE}])|(?<=[{ENDS}][{_CLOSE}]{{2}}))[ \t\u00a0\u3000]+|(?:(?<=[{WIDE_ENDS}])(?![{_CLOSE}])|(?<=[{WIDE_ENDS}][{_CLOSE}])(?![{_CLOSE}])|(?<=[{WIDE_ENDS}][{_CLOSE}]{{2}}))[ \t\u00a0\u3000]*))")
 
 
 def lines_of(text: str) -> list[str]:

@@ -82,3 +82,13 @@ def test_blocks_of_any_pair(spark):
     left = {x.d.doc_id: [y.strip() for y in ld.lines_of(x.text)[::2] if y.split()] for x in rows}
     assert left == all_pairs(docs) and left[3] == [] and left[4] == ["own start of this one", "own end"] and left[5] == ["moved"]
     assert {x.d.doc_id: x.removed for x in rows}[4] == 6
+
+
+def test_every_sentence_end_cuts(spark):
+    ends = ["Ends in a.", "Ends in é?", "Ends in X!", "Ends in 7.", "(Ends in bracket.)", "“Ends in quote.”", "Ends so…", "終わり。", "「終わり。」"]
+    assert [x for x in ld.lines_of(" ".join(ends))[::2] if x] == ends
+    assert ld.lines_of("一。二！三")[::2] == ["一。", "二！", "三"] and "".join(ld.lines_of("一。 二！三")) == "一。 二！三"
+    passage = "This passage stands in the middle of a line. It is here."
+    docs = [(1, f"Begin here. {passage} It goes on."), (2, f"Another begin here? {passage} An own end here.")]
+    rows = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.d.doc_id: r.text for r in rows} == {1: docs[0][1], 2: "Another begin here? An own end here."}
