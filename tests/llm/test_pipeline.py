@@ -53,3 +53,12 @@ def test_run_and_registry(spark):
     names = registry.queries()
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and set(registry.oracle_sql()) <= set(names)
     assert set(corpus_pipeline.queries()) == {"pipeline"}
+
+
+def test_near_stage_chooses_by_row(spark):
+    one, two = fixtures.texts(2)
+    docs = [(5, one), (5, two), (5, two), (9, one), (None, two), (None, "a text of its own without an id"), (None, "a text of its own without an id"), (-3, "below zero"), (2, "below zero")]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.near_stage(spark, table, fixtures.SF)
+    assert left.columns == table.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(5, one), (5, two), (None, docs[5][1]), (-3, "below zero")], key=str)
