@@ -5,9 +5,9 @@ makes of their joined bytes. So for each prefix of the input one token can end
 there, and the transducer reads bytes from left to right, keeps the candidates
 that a longer token could still overrule, and emits a token as soon as all
 candidates agree on it (the lookahead is bounded by the longest token). Sets of
-candidates become states when first reached, up to a bounded number; input that
-leaves the states known by then is run on the candidates themselves, as lazy
-automata do when their table is full.
+candidates become states when first reached, up to a bounded number. A piece that
+leaves the states known by then goes through another method with the same result: a
+longest-first backtracking search over a trie, which emits at the end of the piece.
 
 Defined results: null text is empty text and has no tokens; other columns are
 ignored.
