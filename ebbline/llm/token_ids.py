@@ -2,8 +2,9 @@
 
 A file begins with a fixed header, then the Elias-Fano sequences of boundaries and
 of doc_ids, then the ids (16 bits each where the vocabulary allows it, else 32).
-``EliasFano.select(i)`` gives one boundary from a sampled select table and one
-short scan; there is no table of 64-bit offsets.
+``EliasFano.select(i)`` gives one boundary from a sample stored in the file and one
+short scan, ``EliasFano.run`` those of some neighbours; a table of 64-bit offsets is
+neither stored nor built.
 
 Writers hold one range of doc_ids each, cut files at ``MAX_IDS`` ids (a longer
 document has a file of its own) and put them whole into the shared folder, so a
@@ -15,8 +16,10 @@ smallest; equal doc_ids keep a place each; other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import struct
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,58 +30,77 @@ from . import common, ordered, words
 
 MAX_IDS = 1 << 22
 SAMPLE = 256
-MAGIC = b"EFTOKID1"
+MAGIC = b"EFTOKID2"
 _HEADER = struct.Struct("<8sIIQQQQ")  # magic, bytes of an id, part, ids of the part before this file, documents, ids, bytes of the first sequence
 
 
 class EliasFano:
-    """A non-decreasing sequence of unsigned 64-bit values, about 2 + log2(range / length) bits each."""
+    """A non-decreasing sequence of unsigned 64-bit values, about 2 + log2(range / length) bits each.
 
-    def __init__(self, count: int, first: int, low_bits: int, low: bytes, high: bytes) -> None:
-        self.count, self.first, self.low_bits, self.low, self.high = count, first, low_bits, low, high
-        self._samples: np.ndarray | None = None
+    The upper bits stand in unary, the lower ones packed. The place of every ``SAMPLE``-th
+    one among the upper bits is kept with the sequence, so that ``select`` finds a
+    value by one sample and a short count of ones, and ``run`` some neighbours alike.
+    """
+
+    def __init__(self, count: int, first: int, low_bits: int, samples: np.ndarray, low: bytes, high: bytes) -> None:
+        self.count, self.first, self.low_bits, self.samples, self.low, self.high = count, first, low_bits, samples, low, high
 
     @classmethod
-    def of(cls, values: np.ndarray, first: int | None = None) -> EliasFano:
-        """values ascending (int64 or uint64); first is taken off each (the smallest, if not given)."""
+    def of(cls, values: np.ndarray, first: int | None = None, chunk: int = 1 << 16) -> EliasFano:
+        """values ascending (int64 or uint64); first is taken off each (the smallest, if not given). A chunk (a multiple of 8) is packed at a time."""
         count = len(values)
         first = (int(values[0]) if count else 0) if first is None else first
-        offsets = values.astype(np.uint64) - np.uint64(first % (1 << 64))
-        top = int(offsets[-1]) if count else 0
+        base = np.uint64(first % (1 << 64))
+        top = int((values[-1:].astype(np.uint64) - base)[0]) if count else 0
         low_bits = max(0, (top // count).bit_length() - 1) if count else 0
-        lows = (offsets[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1) if low_bits else np.zeros((count, 0))
-        highs = (offsets >> np.uint64(low_bits)).astype(np.int64) + np.arange(count)
-        bits = np.zeros(int(highs[-1]) + 1 if count else 0, dtype=np.uint8)
-        bits[highs] = 1
-        return cls(count, first, low_bits, np.packbits(lows.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes())
+        shifts = np.arange(low_bits, dtype=np.uint64)
+        bits = np.zeros((top >> low_bits) + count if count else 0, dtype=np.uint8)
+        low, samples = [], []
+        for at in range(0, count, chunk):
+            offsets = values[at : at + chunk].astype(np.uint64) - base
+            ones = (offsets >> np.uint64(low_bits)).astype(np.int64) + np.arange(at, at + len(offsets))
+            bits[ones] = 1
+            samples.append(ones[(-at) % SAMPLE :: SAMPLE].astype(np.uint64))
+            if low_bits:
+                low.append(np.packbits(((offsets[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes())
+        return cls(count, first, low_bits, np.concatenate(samples) if samples else np.zeros(0, dtype=np.uint64), b"".join(low), np.packbits(bits, bitorder="little").tobytes())
 
     def tobytes(self) -> bytes:
-        return struct.pack("<QqIQQ", self.count, self.first, self.low_bits, len(self.low), len(self.high)) + self.low + self.high
+        return struct.pack("<QqIQQQ", self.count, self.first, self.low_bits, len(self.samples), len(self.low), len(self.high)) + self.samples.astype("<u8").tobytes() + self.low + self.high
 
     @classmethod
     def frombytes(cls, data: bytes, at: int = 0) -> tuple[EliasFano, int]:
-        count, first, low_bits, n_low, n_high = struct.unpack_from("<QqIQQ", data, at)
-        at += 36
-        return cls(count, first, low_bits, data[at : at + n_low], data[at + n_low : at + n_low + n_high]), at + n_low + n_high
-
-    def values(self) -> np.ndarray:
-        """All values, as int64."""
-        bits = np.unpackbits(np.frombuffer(self.high, dtype=np.uint8), bitorder="little")
-        highs = (np.flatnonzero(bits)[: self.count] - np.arange(self.count)).astype(np.uint64)
-        lows = np.zeros(self.count, dtype=np.uint64)
+        count, first, low_bits, n_samples, n_low, n_high = struct.unpack_from("<QqIQQQ", data, at)
+        at += 44
+        samples = np.frombuffer(data, dtype="<u8", count=n_samples, offset=at)
+        at += 8 * n_samples
+        return cls(count, first, low_bits, samples, data[at : at + n_low], data[at + n_low : at + n_low + n_high]), at + n_low + n_high
+
+    def run(self, begin: int, end: int) -> np.ndarray:
+        """Values begin to end - 1 as int64: from the sample before the first, only the bytes that hold them are read."""
+        begin, end = max(begin, 0), min(end, self.count)
+        if begin >= end:
+            return np.zeros(0, dtype=np.int64)
+        sample = begin // SAMPLE
+        byte = int(self.samples[sample]) >> 3
+        stop = -(-end // SAMPLE)
+        last = (int(self.samples[stop]) >> 3) + 1 if stop < len(self.samples) else len(self.high)
+        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, dtype=np.uint8, count=last - byte, offset=byte), bitorder="little")) + 8 * byte
+        ones = ones[int(np.searchsorted(ones, int(self.samples[sample]))) + begin - sample * SAMPLE :][: end - begin]
+        values = (ones - np.arange(begin, end)).astype(np.uint64) << np.uint64(self.low_bits)
         if self.low_bits:
-            low = np.unpackbits(np.frombuffer(self.low, dtype=np.uint8), count=self.count * self.low_bits, bitorder="little").reshape(self.count, self.low_bits)
-            lows = (low.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return ((highs << np.uint64(self.low_bits)) + lows + np.uint64(self.first % (1 << 64))).astype(np.int64)
+            start = begin * self.low_bits
+            span = np.frombuffer(self.low, dtype=np.uint8, count=((end * self.low_bits + 7) >> 3) - (start >> 3), offset=start >> 3)
+            low = np.unpackbits(span, bitorder="little")[start & 7 :][: (end - begin) * self.low_bits].reshape(-1, self.low_bits)
+            for k in range(self.low_bits):
+                values |= low[:, k].astype(np.uint64) << np.uint64(k)
+        return (values + np.uint64(self.first % (1 << 64))).astype(np.int64)
 
     def select(self, i: int) -> int:
-        """Value i: from the sampled place of every 256th one, count ones byte by byte; then its low bits."""
+        """Value i: from the sampled place, count ones byte by byte; then its low bits."""
         if not 0 <= i < self.count:
             raise IndexError(i)
-        if self._samples is None:
-            bits = np.unpackbits(np.frombuffer(self.high, dtype=np.uint8), bitorder="little")
-            self._samples = np.flatnonzero(bits)[::SAMPLE].astype(np.uint32)
-        at = int(self._samples[i // SAMPLE])
+        at = int(self.samples[i // SAMPLE])
         left = i % SAMPLE
         byte = at >> 3
         rest = self.high[byte] >> (at & 7) << (at & 7)
@@ -142,12 +164,13 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, fo
                 number, before = number + 1, before + size
             keys, ids, size = [], [], 0
 
-        for batch in common.batches(stream):
-            for p, _, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for batch in common.batches(stream, 4 << 20):
+            parts_, _, keys_, texts = batch.columns
+            for p, key, encoded in zip(parts_.to_pylist(), keys_.to_pylist(), coder.encode_many(texts.to_pylist()), strict=True):
                 if p != part:
                     flush()
                     part, before, number = p, 0, 0
-                data = coder.encode_bytes(text) + end
+                data = encoded + end
                 if keys and size + len(data) // 4 > max_ids:
                     flush()
                 keys.append(key)
@@ -160,29 +183,45 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, fo
     return common.written(rows.mapInArrow(run, "part int, file string, n_docs long, n_ids long"), "token-manifest")
 
 
-def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids (binary), read from the files."""
-    totals = {r["part"]: r["n"] for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+def _part_bases(manifest: DataFrame) -> dict[int, int]:
+    """part -> ids of the parts before it. The driver sees one row a part."""
     bases, base = {}, 0
-    for part in sorted(totals):
-        bases[part], base = base, base + totals[part]
-    names = ["key", "start", "n_tokens", "ids"]
-    if not totals:
-        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids binary")
+    for r in sorted(manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()):
+        bases[r["part"]], base = base, base + r["n"]
+    return bases
+
+
+def _read(spark: SparkSession, folder: str, manifest: DataFrame, last: str, of: Callable[[np.ndarray], object], kind: pa.DataType) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ``of`` each document's ids, read from the files."""
+    bases = _part_bases(manifest)
+    names = ["key", "start", "n_tokens", last]
+    sql = {pa.binary(): "binary", pa.int64(): "long"}[kind]
+    if not bases:
+        return spark.createDataFrame([], f"doc_id long, start long, n_tokens long, {last} {sql}")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for data in batch.column(0):
                 file = TokenFile(data.as_py())
-                bounds, keys = file.bounds.values(), file.keys.values()
                 first = bases[file.part] + file.before
                 for at in range(0, file.documents, 1024):
                     to = min(at + 1024, file.documents)
-                    cuts = bounds[at : to + 1]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[at:to]), pa.array(first + cuts[:-1]), pa.array(np.diff(cuts)), pa.array([file.ids[a:b].astype("<u4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=names)
+                    cuts = file.bounds.run(at, to + 1)
+                    got = [of(file.ids[a:b]) for a, b in itertools.pairwise(cuts.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(file.keys.run(at, to)), pa.array(first + cuts[:-1]), pa.array(np.diff(cuts)), pa.array(got, kind)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.eft").load(folder).select("content")
-    return files.mapInArrow(run, "key long, start long, n_tokens long, ids binary").select(ordered.doc_id_of().alias("doc_id"), *names[1:])
+    return files.mapInArrow(run, f"key long, start long, n_tokens long, {last} {sql}").select(ordered.doc_id_of().alias("doc_id"), *names[1:])
+
+
+def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, little-endian unsigned 32-bit)."""
+    return _read(spark, folder, manifest, "ids", lambda ids: ids.astype("<u4").tobytes(), pa.binary())
+
+
+def token_digests(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32; the ids stay where the file is read."""
+    return _read(spark, folder, manifest, "ids_crc32", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()), pa.int64())
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,4 +229,4 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = common.shared_dir(spark, "token-ids")
     manifest = write_token_files(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, folder)
-    return read_token_files(spark, folder, manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_digests(spark, folder, manifest)

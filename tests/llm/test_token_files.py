@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -20,8 +21,24 @@ def library():
 def test_words_give_the_library_ids(library):
     coder, r = words.WordEncoder(PATH), random.Random(3)
     parts = ["a", "B", " ", "  ", "\n", "é", "Ü", "ß", "漢", "🙂", "'s", "'LL", "1", "!", "%%%", "\x1d", "\x85", "\xa0", "\u0301", "The", "<|endoftext|>", "<|", "\ufeff", "١", "Σ", "İ", "ª", "½", "µ", "Á", "\xad", "\x00", "_"]
-    for t in ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(2500)] + fixtures.texts(20):
-        assert np.frombuffer(coder.encode_bytes(t), "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(2500)] + fixtures.texts(20)
+    parts = ["'", "s", "t", "re", "ve", "m", "ll", "d", " ", "\n", "\xa0", "\x85", "A", "É", "²", "½", "7", "42", "%%", "..", "«", "\xad", "\x00", "'S", "don't", "hello"]
+    texts += ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(2500)]
+    many = coder.encode_many(texts)
+    for t, ids in zip(texts, many, strict=True):
+        wanted = library.encode(t, add_special_tokens=False).ids
+        assert np.frombuffer(coder.encode_bytes(t), "<u4").tolist() == wanted and np.frombuffer(ids, "<u4").tolist() == wanted
+    assert coder._pattern == words.CUT and coder.encode_many([]) == [] and coder.encode_many([""]) == [b""]
+
+
+def test_many_sparse_ids_take_little_memory():
+    keys = np.cumsum(np.random.default_rng(4).integers(1, 1 << 40, 4_000_000))
+    tracemalloc.start()
+    coded, _ = token_ids.EliasFano.frombytes(token_ids.EliasFano.of(keys).tobytes())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 300 << 20
+    assert all(coded.select(i) == keys[i] for i in range(0, len(keys), 99_991)) and (coded.run(2_000_000, 2_000_900) == keys[2_000_000:2_000_900]).all()
 
 
 def test_elias_fano():
@@ -29,11 +46,14 @@ def test_elias_fano():
     for _ in range(60):
         values = np.sort(np.array([r.randrange(-(1 << r.randrange(1, 63)), 1 << r.randrange(1, 63)) for _ in range(r.randrange(1, 900))], dtype=np.int64))
         coded, size = token_ids.EliasFano.frombytes(token_ids.EliasFano.of(values).tobytes())
-        assert (coded.values() == values).all()
+        assert (coded.run(0, len(values)) == values).all()
         assert all(coded.select(i) == values[i] for i in r.sample(range(len(values)), min(40, len(values))))
+        for _ in range(10):
+            a, b = sorted(r.randrange(len(values) + 1) for _ in range(2))
+            assert coded.run(a, b).tolist() == values[a:b].tolist()
     dense = token_ids.EliasFano.of(np.cumsum(np.random.default_rng(1).integers(0, 600, 10_000)), 0)
     assert 8 * (len(dense.low) + len(dense.high)) < 10_000 * (2 + np.log2(300) + 1)
-    assert token_ids.EliasFano.of(np.zeros(0, dtype=np.int64)).values().tolist() == []
+    assert token_ids.EliasFano.of(np.zeros(0, dtype=np.int64)).run(0, 1).tolist() == []
     with pytest.raises(IndexError):
         dense.select(10_000)
 
@@ -56,7 +76,7 @@ def test_files_round_trip(spark, library):
 def test_file_access():
     ids = [np.arange(n, dtype="<u4").tobytes() for n in (3, 0, 5)]
     file = token_ids.TokenFile(token_ids.pack_file(4, 9, [-5, 7, 7], ids, 2))
-    assert [file.document(i).tolist() for i in range(3)] == [[0, 1, 2], [], [0, 1, 2, 3, 4]] and file.keys.values().tolist() == [-5, 7, 7] and (file.part, file.before) == (4, 9)
+    assert [file.document(i).tolist() for i in range(3)] == [[0, 1, 2], [], [0, 1, 2, 3, 4]] and file.keys.run(0, 3).tolist() == [-5, 7, 7] and (file.part, file.before) == (4, 9)
     with pytest.raises(ValueError):
         token_ids.TokenFile(b"x" * 80)
 
