@@ -1,23 +1,24 @@
-"""Line dedup by alignment: a later document loses the blocks that it shares with earlier ones.
+"""Line dedup by pairwise alignment: a later document loses the blocks that it shares with an earlier one.
 
 A document is read as lines, and a line is cut further at every sentence end: after
-one of ``ENDS`` with any closing quotes or brackets where white space follows, and
+one of ``ENDS`` with up to two closing quotes or brackets where white space follows, and
 after one of ``WIDE_ENDS`` with or without it. The cuts depend on the text around
 them alone, so a passage inside a long line is cut alike in every document. Each such
 piece is a line in what follows; pieces without words are passed over.
 
-A block is a run of lines of at least ``MIN_WORDS`` words that stands, line by line,
-in two documents. The later one loses it, wherever it stands in either and however
-often its lines occur. To find the blocks of all pairs without forming pairs, each
-line gives the shortest run of enough words that starts with it and the shortest
-that ends with it (``windows``). The first line of a block starts such a run within
-the block, and each line after that run ends one, so the runs that an earlier
-document holds cover exactly the lines of all blocks. One row for each run is
-joined to the smallest doc_id that holds it; no frequency is left out.
+Each line gives the shortest run of ``MIN_WORDS`` words that starts with it and the
+shortest that ends with it (``windows``); long lines are runs by themselves. The hash of
+a run is what documents are linked by: a document makes a pair with the first document
+that holds one of its runs, so it has at most one pair for each run, and no pairs
+are made among the holders of a frequent one. Any block of enough words that stands in
+two documents begins and ends with such runs and is covered by them, so the pairs of
+a document hold between them every block that it shares with any earlier one.
 
-``align`` and ``blocks`` (patience diff of one pair) are not on the query's path:
-what they delete for any pair is a part of what the runs give, which holds moved
-and repeated blocks too.
+Each pair is aligned by patience diff (``align``): the shared runs that the fewest rows
+hold are put in order first, the others between them. What the alignment leaves out
+because it stands in another order, moved or repeated, is put into further increasing
+chains (``chains``). Runs that adjoin in both documents are one block (``aligned_blocks``), and
+the later document loses the lines of its blocks.
 
 Defined results: documents with a null doc_id or text stay as they are and hold
 back nothing; rows that repeat a doc_id are not compared with each other, but what
@@ -33,7 +34,6 @@ from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -43,16 +43,23 @@ from pyspark.sql import functions as F
 from . import common
 
 MIN_WORDS = 5
-RARE = 100
 ENDS = ".!?…।॥؟۔։።"
 WIDE_ENDS = "。！？｡"
 _CLOSE = "\"'”’»)\\]}）」』"
-_CUT = re.compile(rf"(\n+|(?<=[{ENDS}{WIDE_ENDS}{_CLOSE}])(?:(?:(?<=[{ENDS}])|(?<=[{ENDS}][{_CLOSE}])|(?<=[{ENDS}][{_CLOSE}]{{2}}))[ \t\u00a0\u3000]+|(?:(?<=[{WIDE_ENDS}])(?![{_CLOSE}])|(?<=[{WIDE_ENDS}][{_CLOSE}])(?![{_CLOSE}])|(?<=[{WIDE_ENDS}][{_CLOSE}]{{2}}))[ \t\u00a0\u3000]*))")
+_SPACE = r"[ \t 　]"
+_CUT = re.compile(rf"(\n+)|[{ENDS}][{_CLOSE}]{{0,2}}({_SPACE}+)|[{WIDE_ENDS}][{_CLOSE}]{{0,2}}({_SPACE}*)")
 
 
 def lines_of(text: str) -> list[str]:
     """Lines at even places, what separates them at odd ones; joined they are the text."""
-    return _CUT.split(text)
+    parts, at = [], 0
+    for m in _CUT.finditer(text):
+        start, stop = m.span(m.lastindex)
+        parts.append(text[at:start])
+        parts.append(text[start:stop])
+        at = stop
+    parts.append(text[at:])
+    return parts
 
 
 def line_hash(line: str) -> int:
@@ -120,10 +127,16 @@ def document_windows(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def shared_windows(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, line, hash: each run that an earlier document holds."""
-    runs = document_windows(documents, least)
-    first = runs.groupBy("hash").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("last > first_doc").select("hash", "first_doc")
-    return runs.join(first, "hash").where("doc_id > first_doc").select("doc_id", "line", "hash")
+    """doc_id, line, hash, partner, partner_line, holders: each run that an earlier document holds, and a place of it in the first that does.
+
+    Runs are found once and written. The first holders come from an aggregate with partial
+    sums in each task; a run that very many documents hold is one row of it, and what
+    joins that row may be split among tasks.
+    """
+    runs = common.written(document_windows(documents, least), "line-runs")
+    first = runs.groupBy("hash").agg(F.min("doc_id").alias("partner"), F.min_by("line", "doc_id").alias("partner_line"), F.max("doc_id").alias("last"), F.count("*").alias("holders"))
+    first = first.where("last > partner").drop("last")
+    return runs.join(first, "hash").where("doc_id > partner").select("doc_id", "line", "hash", "partner", "partner_line", "holders")
 
 
 def longest_increasing(values: list[int]) -> list[int]:
@@ -146,12 +159,13 @@ def longest_increasing(values: list[int]) -> list[int]:
     return chain[::-1]
 
 
-def align(pairs: list[tuple[int, int, bool]]) -> list[int]:
-    """(line, partner's line, rare), ascending by line -> places of the aligned ones, in order in both documents.
+def align(pairs: list[tuple[int, int, int]]) -> list[int]:
+    """(line, partner's line, holders), ascending by line -> places of the aligned ones, in order in both documents.
 
-    Rare lines are aligned first; the others only between the anchors that this gives.
+    Those with the fewest holders are aligned first; the others only between the anchors that this gives.
     """
-    rare = [i for i, p in enumerate(pairs) if p[2]]
+    fewest = min((p[2] for p in pairs), default=0)
+    rare = [i for i, p in enumerate(pairs) if p[2] == fewest]
     anchors = [rare[k] for k in longest_increasing([pairs[i][1] for i in rare])]
     out: list[int] = []
     before = (-1, -1)
@@ -160,7 +174,7 @@ def align(pairs: list[tuple[int, int, bool]]) -> list[int]:
         after = pairs[anchor][:2] if anchor is not None else (1 << 62, 1 << 62)
         gap = []
         while at < len(pairs) and pairs[at][0] < after[0]:
-            if not pairs[at][2] and before[1] < pairs[at][1] < after[1]:
+            if pairs[at][2] != fewest and before[1] < pairs[at][1] < after[1]:
                 gap.append(at)
             at += 1
         out += [gap[k] for k in longest_increasing([pairs[i][1] for i in gap])]
@@ -170,31 +184,67 @@ def align(pairs: list[tuple[int, int, bool]]) -> list[int]:
     return out
 
 
-def blocks(pairs: list[tuple[int, int, bool]], words: list[int], least: int) -> list[int]:
-    """Places of aligned lines whose block (lines that adjoin in both documents) has at least ``least`` words."""
-    out: list[int] = []
-    run: list[int] = []
-    for i in align(pairs):
-        if run and (pairs[i][0] - pairs[run[-1]][0], pairs[i][1] - pairs[run[-1]][1]) != (1, 1):
-            if sum(words[k] for k in run) >= least:
-                out += run
-            run = []
-        run.append(i)
-    if run and sum(words[k] for k in run) >= least:
-        out += run
+def chains(pairs: list[tuple[int, int, int]]) -> list[list[int]]:
+    """The alignment, and then increasing chains of all places that it left out: each goes on the chain whose end is nearest below it."""
+    main = align(pairs)
+    taken = set(main)
+    found: list[list[int]] = [main]
+    tops: list[int] = []  # ends of the further chains, ascending
+    chain_of: list[int] = []
+    for i in range(len(pairs)):
+        if i not in taken:
+            value = pairs[i][1]
+            at = bisect_left(tops, value) - 1
+            if at >= 0:
+                found[chain_of[at]].append(i)
+                tops[at] = value
+            else:
+                tops.insert(0, value)
+                chain_of.insert(0, len(found))
+                found.append([i])
+    return found
+
+
+def blocks(pairs: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(first, last) places in pairs of each block: runs that adjoin in both documents."""
+    out: list[tuple[int, int]] = []
+    for chain in chains(pairs):
+        for k, i in enumerate(chain):
+            if k and (pairs[i][0] - pairs[chain[k - 1]][0], pairs[i][1] - pairs[chain[k - 1]][1]) == (1, 1):
+                out[-1] = (out[-1][0], i)
+            else:
+                out.append((i, i))
+    return out
+
+
+def aligned_blocks(shared: list[tuple[int, int, int, int, int]], stops: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
+    """Shared runs (line, hash, partner, partner's line, holders) of a document -> blocks (partner, line, line past the end, partner's line), by pairs.
+
+    stops has the line past the end of each run (line, hash) of the document; others are passed over.
+    """
+    by_partner: dict[int, dict[tuple[int, int], tuple[int, int, int]]] = {}
+    for line, hash_, partner, partner_line, holders in shared:
+        if (line, hash_) in stops:
+            by_partner.setdefault(partner, {})[line, hash_] = (line, partner_line, holders)
+    out = []
+    for partner, found in sorted(by_partner.items()):
+        runs = sorted(found, key=lambda r: (*found[r], r[1]))
+        pairs = [found[r] for r in runs]
+        for first, last in blocks(pairs):
+            covered = [stops[runs[first]], stops[runs[last]]]
+            out.append((partner, pairs[first][0], max(covered), pairs[first][1]))
     return out
 
 
-def doomed_lines(text: str, shared: set[tuple[int, int]], least: int = MIN_WORDS) -> dict[int, int]:
-    """Number -> hash of the lines in shared runs (first line's place, hash); lines without words between two of a run go too."""
+def doomed_lines(text: str, shared: list[tuple[int, int, int, int, int]], least: int = MIN_WORDS) -> dict[int, int]:
+    """Number -> hash of the lines in blocks of the pairs of a document; lines without words between two of a block go too."""
     found, number, hashes = text_windows(text, least)
     gone: dict[int, int] = {}
-    for start, stop, h in found:
-        if (start, h) in shared:
-            for n in range(number[start], number[stop - 1]):
-                gone.setdefault(n, EMPTY)
-            for k in range(start, stop):
-                gone[number[k]] = hashes[k]
+    for _, start, stop, _ in aligned_blocks(shared, {(first, h): past for first, past, h in found}):
+        for n in range(number[start], number[stop - 1]):
+            gone.setdefault(n, EMPTY)
+        for k in range(start, stop):
+            gone[number[k]] = hashes[k]
     return gone
 
 
@@ -213,20 +263,24 @@ def without_lines(text: str, gone: dict[int, int]) -> str:
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(d struct: the row of documents as it was, text: what is left of it, removed: lines with words deleted)."""
-    shared = shared_windows(documents, min_words).groupBy("doc_id").agg(F.collect_list(F.struct("line", "hash")).alias("shared"))
+    names = ["line", "hash", "partner", "partner_line", "holders"]
+    shared = shared_windows(documents, min_words).groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("shared"))
 
     @F.pandas_udf("text string, removed int")
-    def rest(texts: pd.Series, places: pd.Series, hashes: pd.Series) -> pd.DataFrame:
+    def rest(texts: pd.Series, *found: pd.Series) -> pd.DataFrame:
         left, removed = [], []
-        for text, at, found in zip(texts, places, hashes, strict=True):
-            gone = {} if at is None or text is None else doomed_lines(text, set(zip(np.asarray(at).tolist(), np.asarray(found).tolist(), strict=True)), min_words)
+        for text, *of in zip(texts, *found, strict=True):
+            gone = {} if of[0] is None or text is None else doomed_lines(text, list(zip(*(x.tolist() for x in of), strict=True)), min_words)
             left.append(without_lines(text, gone) if gone else text)
             removed.append(sum(h != EMPTY for h in gone.values()))
         return pd.DataFrame({"text": pd.Series(left, dtype=object), "removed": pd.Series(removed, dtype="int32")})
 
-    rows = documents.select(F.struct("*").alias("d"))
-    joined = rows.join(shared, F.col("d")["doc_id"].cast("long") == F.col("doc_id"), "left")
-    made = joined.withColumn("made", rest(F.when(F.col("shared").isNotNull(), F.col("d")["text"]), F.col("shared")["line"], F.col("shared")["hash"]))
+    # rows without a doc_id have no partner and are spread by their texts
+    spread = F.when(F.col("d")["doc_id"].isNull(), F.xxhash64(F.col("d")["text"])).otherwise(F.lit(0).cast("long"))
+    rows = documents.select(F.struct("*").alias("d")).withColumn("spread", spread)
+    shared = shared.withColumn("none", F.lit(0).cast("long"))
+    joined = rows.join(shared, (F.col("d")["doc_id"].cast("long") == F.col("doc_id")) & (F.col("spread") == F.col("none")), "left")
+    made = joined.withColumn("made", rest(F.when(F.col("shared").isNotNull(), F.col("d")["text"]), *[F.col("shared")[n] for n in names]))
     left = F.when(F.col("shared").isNull(), F.col("d")["text"]).otherwise(F.col("made")["text"])
     return made.select("d", left.alias("text"), F.coalesce(F.col("made")["removed"], F.lit(0)).alias("removed"))
 

@@ -4,25 +4,54 @@ from ebbline.llm import line_dedup as ld
 from tests.llm import fixtures
 
 
-def plain(docs):
-    """The same by sequential code over the sorted documents."""
-    first, count = {}, {}
-    known = sorted((i, t) for i, t in docs if i is not None and t is not None)
-    for i, t in known:
-        for n, line in enumerate(ld.lines_of(t)[::2]):
-            if line.split():
-                first[line.strip()] = min(first.get(line.strip(), (i, n)), (i, n))
-                count[line.strip()] = count.get(line.strip(), 0) + 1
-    gone = {}
-    for i, t in known:
-        lines, pairs = ld.lines_of(t)[::2], {}
-        for n, line in enumerate(lines):
-            if line.split() and first[line.strip()][0] < i:
-                pairs.setdefault(first[line.strip()][0], []).append((n, first[line.strip()][1], count[line.strip()] <= ld.RARE))
-        for found in pairs.values():
-            for k in ld.blocks(found, [len(lines[p[0]].split()) for p in found], ld.MIN_WORDS):
-                gone.setdefault(i, {})[found[k][0]] = ld.line_hash(lines[found[k][0]])
-    return [(i, t if t is None else ld.without_lines(t, gone.get(i, {}))) for i, t in docs]
+def cut(text):
+    """Lines by reading characters one after the other; shares no code with the operator."""
+    lines, now, i = [], "", 0
+    while i < len(text):
+        c = text[i]
+        if c == "\n":
+            lines.append(now)
+            now, i = "", i + 1
+            continue
+        now, i = now + c, i + 1
+        if c in ".!?…।॥؟۔։።。！？｡":
+            j = i
+            while j < len(text) and j < i + 2 and text[j] in "\"'”’»)]}）」』":
+                j += 1
+            wide = c in "。！？｡"
+            while j > i and not wide and not (j < len(text) and text[j] in " \t\u00a0\u3000"):
+                j -= 1
+            if wide or (j < len(text) and text[j] in " \t\u00a0\u3000"):
+                lines.append(now + text[i:j])
+                while j < len(text) and text[j] in " \t\u00a0\u3000":
+                    j += 1
+                now, i = "", j
+    return [x.strip() for x in [*lines, now] if x.split()]
+
+
+def all_pairs(docs):
+    """Lines that are left by comparing every pair: a line goes with a run of equal lines of five words or more."""
+    known = [(i, cut(t)) for i, t in sorted(((i, t) for i, t in docs if i is not None and t is not None))]
+    left = {}
+    for k, (doc, own) in enumerate(known):
+        gone = set()
+        for other, lines in known[:k]:
+            if other == doc or not set(own) & set(lines):
+                continue
+            places = {}
+            for b, x in enumerate(lines):
+                places.setdefault(x, []).append(b)
+            runs = {}  # (place here, place there) of the last two equal lines -> begin and words of their run
+            for a, x in enumerate(own):
+                now = {}
+                for b in places.get(x, ()):
+                    begin, words = runs.get(b - 1, (a, 0))
+                    now[b] = (begin, words + len(x.split()))
+                    if now[b][1] >= 5:
+                        gone.update(range(begin, a + 1))
+                runs = now
+        left[doc] = [x for n, x in enumerate(own) if n not in gone]
+    return left
 
 
 def test_cuts_and_alignment():
@@ -30,8 +59,12 @@ def test_cuts_and_alignment():
     assert "".join(ld.lines_of(text)) == text
     assert ld.longest_increasing([3, 1, 2, 2, 5, 4]) in ([1, 2, 4], [1, 2, 5], [1, 3, 4], [1, 3, 5])
     # the crossing frequent line is left out, the rare anchors stay
-    assert ld.align([(0, 5, True), (1, 2, False), (2, 6, True), (3, 7, False)]) == [0, 2, 3]
-    assert ld.blocks([(0, 0, True), (1, 1, True), (3, 2, True)], [2, 3, 4], 5) == [0, 1]
+    assert ld.align([(0, 5, 2), (1, 2, 9), (2, 6, 2), (3, 7, 9)]) == [0, 2, 3]
+    assert ld.chains([(0, 5, 2), (1, 2, 9), (2, 6, 2), (3, 7, 9), (4, 3, 2)]) == [[0, 2, 3], [1, 4]]
+    assert ld.blocks([(0, 0, 2), (1, 1, 2), (3, 2, 2), (4, 9, 2), (5, 10, 2)]) == [(0, 1), (2, 2), (3, 4)]
+    # a block of two lines, a moved one and a repeated one, in the pairs with documents 7 and 9
+    runs = [(0, 11, 7, 4, 2), (1, 12, 7, 5, 2), (2, 13, 9, 0, 3), (3, 11, 7, 4, 2), (5, 14, 7, 1, 2)]
+    assert sorted(ld.aligned_blocks(runs, {(r[0], r[1]): r[0] + 1 for r in runs})) == [(7, 0, 2, 4), (7, 3, 4, 4), (7, 5, 6, 1), (9, 2, 3, 0)]
 
 
 def test_against_sequential_code(spark):
@@ -43,35 +76,14 @@ def test_against_sequential_code(spark):
     kept = ld.dedup_lines(table)
     found = [(r.d.doc_id, r.text, r.d.gone) for r in kept.collect()]
     repeated = {7}  # rows that share a doc_id share what is deleted
-    want = [(i, t, "x") for i, t in plain(docs)]
-    pick = lambda x: sorted((y for y in x if y[0] not in repeated), key=str)
-    assert pick(found) == pick(want) and len(found) == len(docs)
+    left = all_pairs(docs)
+    assert all(cut(t) == left[i] for i, t, _ in found if i is not None and t is not None and i not in repeated) and len(found) == len(docs)
+    assert sorted((i or 0, t or "") for i, t, _ in found if i is None or t is None) == sorted((i or 0, t or "") for i, t in docs if i is None or t is None) and {x for *_, x in found} == {"x"}
     after = {i: t for i, t, _ in found}
     assert passage in after[200] and "second line" not in after[201] + after[202] + after[203] and "Own" in after[200] and "Other begin" in after[201] and "own end" in after[202]
     assert ld.dedup_lines(fixtures.empty_documents(spark)).collect() == []
 
 
-def all_pairs(docs):
-    """What is left by comparing every line of every pair: a line goes with a run of equal lines of five words or more."""
-    known = sorted((i, t) for i, t in docs if i is not None and t is not None)
-    lines = [[(n, x.strip(), len(x.split())) for n, x in enumerate(ld.lines_of(t)[::2]) if x.split()] for _, t in known]
-    left = {}
-    for k, (doc, text) in enumerate(known):
-        own, gone = lines[k], set()
-        for e in range(k):
-            if known[e][0] == doc:
-                continue
-            for a in range(len(own)):
-                for b in range(len(lines[e])):
-                    n = 0
-                    while a + n < len(own) and b + n < len(lines[e]) and own[a + n][1] == lines[e][b + n][1]:
-                        n += 1
-                    if sum(x[2] for x in own[a : a + n]) >= 5:
-                        gone |= {x[0] for x in own[a : a + n]}
-        left[doc] = [x[1] for x in own if x[0] not in gone]
-    return left
-
-
 def test_blocks_of_any_pair(spark):
     block = "That.\nAn original sentence of several words.\n|\nOther words stand here as well.\n|\nThat."
     docs = [(1, "That.\nfirst holder of short lines\n|"), (2, block), (3, block), (4, f"own start of this one\n{block}\nown end"), (5, "Other words stand here as well.\n|\nThat.\nmoved\nThat.\nAn original sentence of several words.")]
@@ -79,14 +91,25 @@ def test_blocks_of_any_pair(spark):
     docs += [(10 + i, "\n".join(r.choice(["a", "b", "c d", "e f g", "h i j k l"]) for _ in range(r.randrange(12)))) for i in range(60)]
     table = spark.createDataFrame(docs, "doc_id long, text string")
     rows = ld.dedup_lines(table).collect()
-    left = {x.d.doc_id: [y.strip() for y in ld.lines_of(x.text)[::2] if y.split()] for x in rows}
+    left = {x.d.doc_id: cut(x.text) for x in rows}
     assert left == all_pairs(docs) and left[3] == [] and left[4] == ["own start of this one", "own end"] and left[5] == ["moved"]
     assert {x.d.doc_id: x.removed for x in rows}[4] == 6
 
 
+def test_short_lines_with_other_first_holders(spark):
+    lines = [f"line {k} of four" for k in range(8)]
+    docs = [(k, f"{line}\nand own words of {k}") for k, line in enumerate(lines)] + [(10, "\n".join(lines)), (11, "\n".join(lines)), (12, "\n".join(reversed(lines)))]
+    rows = ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.d.doc_id: cut(r.text) for r in rows} == all_pairs(docs) and {r.d.doc_id: r.text for r in rows}[11] == ""
+
+
 def test_every_sentence_end_cuts(spark):
     ends = ["Ends in a.", "Ends in é?", "Ends in X!", "Ends in 7.", "(Ends in bracket.)", "“Ends in quote.”", "Ends so…", "終わり。", "「終わり。」"]
-    assert [x for x in ld.lines_of(" ".join(ends))[::2] if x] == ends
+    assert [x for x in ld.lines_of(" ".join(ends))[::2] if x] == ends == cut(" ".join(ends))
+    r = random.Random(8)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "b c", ".", "!", "…", "。", "！", "」", ")", "”", " ", "  ", "\t", "\u3000", "\n", "\u00a0"]) for _ in range(r.randrange(14)))
+        assert "".join(ld.lines_of(t)) == t and [x.strip() for x in ld.lines_of(t)[::2] if x.split()] == cut(t), t
     assert ld.lines_of("一。二！三")[::2] == ["一。", "二！", "三"] and "".join(ld.lines_of("一。 二！三")) == "一。 二！三"
     passage = "This passage stands in the middle of a line. It is here."
     docs = [(1, f"Begin here. {passage} It goes on."), (2, f"Another begin here? {passage} An own end here.")]
