@@ -10,8 +10,17 @@ members share; pairs of nodes are descended while the differences among their
 shared bits stay within the limit, and pairs that cannot differ more are linked
 without a descent. A bucket gives one link for each member at most, never all pairs.
 
-Components come from contraction rounds over written tables; copies of one
-fingerprint are joined to its component and never paired.
+Components come from contraction rounds over written tables, with pointer doubling in
+each; copies of one fingerprint are joined to its component and never paired.
+
+``near_duplicates`` finds texts whose sets of word shingles have a Jaccard similarity of
+at least 0.8. Such texts may differ in more bits than pigeonhole blocks can bear, so
+their buckets are min-hashes of the shingles: four of them, of which such a pair shares
+each with the chance of its similarity (all four missed: under 0.2 ** 4 = 0.0016). Large
+buckets are dealt again by four further min-hashes. In a bucket the Gray-order index
+gives the pairs within ``NEAR_BITS`` bits, of which ``FORESTS`` disjoint spanning forests of the
+closest are kept; each kept pair is then compared by its exact sets of shingles. A pair
+of over 0.8 that no kept pairs connect is lost; tests measure how many.
 
 Defined results: null text is empty text; texts without words have fingerprint
 zero and are linked like others; a null doc_id is never the smallest; repeated rows
@@ -24,6 +33,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,26 +45,97 @@ SHINGLE = 3
 SEED = 42
 MAX_BITS = 3
 BUCKET = 1000
+#: Of near_duplicates: words of a shingle, least similarity, bits searched, min-hashes of a level, levels.
+NEAR_SHINGLE, SIMILARITY, NEAR_BITS, MINS, LEVELS = 5, 0.8, 20, 4, 4
+#: Disjoint spanning forests of close pairs that are compared exactly: up to so many pairs a text and bucket.
+FORESTS = 3
 FANOUT = 8
 _FULL = (1 << 64) - 1
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats counted; 0 without words."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each word shingle of a text with A-Z lowered, repeats included; of all its words if there are fewer; none without words."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
-    starts = [0, *accumulate([len(w) + 1 for w in words])]
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [digest(joined, seed)]
-    else:
-        hashes = [digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[shingle:], strict=False)]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([digest(joined, seed)], dtype="<u8")
+    starts = [0, *accumulate([len(w) + 1 for w in words])]
+    return np.array([digest(joined[a : b - 1], seed) for a, b in zip(starts, starts[shingle:], strict=False)], dtype="<u8")
+
+
+def simhash(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes; 0 without hashes."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """64-bit SimHash of the word shingles of a text, repeats counted; 0 without words."""
+    return simhash(shingle_hashes(text, shingle, seed))
+
+
+_DRAWN = np.array([xxhash.xxh64_intdigest(b"min-hash", k) for k in range(2 * MINS * LEVELS)], dtype=np.uint64)
+_SHIFTS, _FACTORS = _DRAWN[: MINS * LEVELS], _DRAWN[MINS * LEVELS :] | np.uint64(1)
+
+
+def min_hashes(hashes: np.ndarray, chunk: int = 1 << 14) -> np.ndarray:
+    """MINS * LEVELS min-hashes of a set of shingle hashes; zeros without hashes."""
+    least = np.full(len(_FACTORS), (1 << 64) - 1 if len(hashes) else 0, dtype=np.uint64)
+    for at in range(0, len(hashes), chunk):
+        mixed = hashes[at : at + chunk] ^ _SHIFTS[:, None]
+        mixed ^= mixed >> np.uint64(29)
+        mixed *= _FACTORS[:, None]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= _FACTORS[::-1, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    return least
+
+
+def jaccard(a: str, b: str, shingle: int = NEAR_SHINGLE) -> float:
+    """Similarity of the sets of word shingles of two texts; texts without words are alike."""
+    x, y = (np.unique(shingle_hashes(t, shingle)) for t in (a, b))
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def spanning(count: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges (a, b) of a lightest spanning forest of nodes 0 to count - 1; of equal weights the first edge."""
+    rank = np.empty(len(a), dtype=np.int64)
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(a))
+    edge_of = np.argsort(rank)
+    component = np.arange(count)
+    kept: list[np.ndarray] = []
+    none = len(a)
+    while True:
+        x, y = component[a], component[b]
+        open_ = x != y
+        if not open_.any():
+            return np.sort(edge_of[np.concatenate(kept)]) if kept else np.zeros(0, dtype=np.int64)
+        a, b, rank, x, y = a[open_], b[open_], rank[open_], x[open_], y[open_]
+        best = np.full(count, none, dtype=np.int64)
+        np.minimum.at(best, x, rank)
+        np.minimum.at(best, y, rank)
+        place = np.full(none, -1, dtype=np.int64)
+        place[rank] = np.arange(len(rank))
+        own = np.flatnonzero(best < none)
+        chosen = place[best[own]]
+        kept.append(np.unique(best[own]))
+        to = np.arange(count)
+        to[own] = np.where(x[chosen] == own, y[chosen], x[chosen])
+        both = to[to] == np.arange(count)
+        to = np.where(both & (np.arange(count) < to), np.arange(count), to)
+        while not (to[to] == to).all():
+            to = to[to]
+        component = to[component]
+
+
 def gray_rank(values: np.ndarray) -> np.ndarray:
     """Place of each word in the reflected Gray code: neighbours in this order differ in few bits."""
     rank = values.copy()
@@ -72,7 +153,7 @@ class GrayIndex:
 
     def __init__(self, buckets: np.ndarray, values: np.ndarray) -> None:
         """buckets: ascending group numbers; values: uint64, of one group side by side."""
-        order = np.lexsort((gray_rank(values), buckets))
+        self.order = order = np.lexsort((gray_rank(values), buckets))
         self.values = values[order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # and, or, first child (one more at the end)
         low = high = self.values
@@ -95,8 +176,8 @@ class GrayIndex:
             start, stop = children[start], children[stop]
         return start, stop
 
-    def links(self, most: int, chunk: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(i, j) arrays of members within ``most`` bits. All such pairs are connected by the links; not all need be among them."""
+    def links(self, most: int, chunk: int = 20_000, every: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j) arrays of members within ``most`` bits. All such pairs are connected by the links; only with ``every`` are they all among them."""
         top = len(self.levels) - 1
         if top < 1:
             return
@@ -116,7 +197,7 @@ class GrayIndex:
                 if alive.any():
                     yield a[alive], b[alive]
                 continue
-            sure = alive & (differ + np.bitwise_count(~known) <= most)
+            sure = alive & (differ + np.bitwise_count(~known) <= (-1 if every else most))
             if sure.any():
                 yield from self._all(level, a[sure], b[sure])
             rest = alive & ~sure
@@ -143,6 +224,34 @@ class GrayIndex:
         wanted = (a != b)[pair] | (x <= y)
         return x[wanted], y[wanted]
 
+    def closest(self, most: int, forests: int = FORESTS) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (i, j) within ``most`` bits: a spanning forest of the closest ones, then one of the closest other ones, and so on.
+
+        Chunks of pairs are merged into the forests one by one; what that drops is in none of the forests of all pairs.
+        """
+        a = b = np.zeros(0, dtype=np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            x, y = (np.concatenate([old, *new]) for old, new in zip((a, b), zip(*held, strict=True), strict=True))
+            weight = np.bitwise_count(self.values[x] ^ self.values[y])
+            rest, kept = np.arange(len(x)), []
+            for _ in range(forests):
+                found = spanning(len(self.values), x[rest], y[rest], weight[rest])
+                kept.append(rest[found])
+                rest = np.delete(rest, found)
+            chosen = np.concatenate(kept)
+            return x[chosen], y[chosen]
+
+        for pair in self.links(most, every=True):
+            held.append(pair)
+            size += len(pair[0])
+            if size > 1 << 20:
+                a, b = merged()
+                held, size = [], 0
+        return merged() if held else (a, b)
+
     def forest(self, most: int) -> np.ndarray:
         """For each member, the first member of its linked set."""
         label = np.arange(len(self.values))
@@ -211,29 +320,46 @@ def bucketed(prints: DataFrame, most: int = MAX_BITS, largest: int = BUCKET) ->
     return rows if ready is None else ready.unionByName(rows)
 
 
+def _by_bucket(stream: Iterator[pa.RecordBatch], keys: int, rows_at_once: int) -> Iterator[tuple[np.ndarray, list[pa.Array]]]:
+    """Batches sorted by their first ``keys`` columns -> (number of each row's bucket, columns), whole buckets of about rows_at_once rows in all."""
+    held: pa.Table | None = None
+    for batch in _then_none(stream):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+            if held.num_rows < rows_at_once:
+                continue
+        if held is None:
+            return
+        columns = [c.combine_chunks() for c in held.columns]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        new_bucket = np.zeros(held.num_rows, dtype=bool)
+        new_bucket[0] = True
+        for c in columns[:keys]:
+            values = c.to_numpy()
+            new_bucket[1:] |= values[1:] != values[:-1]
+        last = held.num_rows if batch is None else int(np.flatnonzero(new_bucket)[-1])
+        if last:
+            yield np.cumsum(new_bucket)[:last], [c.slice(0, last) for c in columns]
+            held = held.slice(last) if last < held.num_rows else None
+
+
+def _then_none(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from stream
+    yield None
+
+
 def near_links(prints: DataFrame, most: int = MAX_BITS, largest: int = BUCKET, rows_at_once: int = 100_000) -> DataFrame:
     """Different prints -> links (a, b), a spanning forest of each bucket; their closure holds every pair within ``most`` bits."""
 
-    def search(buckets: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        index = GrayIndex(buckets, values)
-        label = index.forest(most)
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(index.values[label[linked]].view(np.int64)), pa.array(index.values[linked].view(np.int64))], names=["a", "b"])
-
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, dtype=np.int64)] * 3
-        for batch in stream:
-            mask, value, prints_ = (np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True))
-            new = np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]
-            last = int(np.flatnonzero(new)[-1]) if len(mask) else 0
-            if last >= rows_at_once:
-                yield search(np.cumsum(new)[:last], prints_[:last].view(np.uint64))
-                mask, value, prints_ = mask[last:], value[last:], prints_[last:]
-            held = [mask, value, prints_]
-        if len(held[0]):
-            mask, value, prints_ = held
-            new = np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]
-            yield search(np.cumsum(new), np.ascontiguousarray(prints_).view(np.uint64))
+        for buckets, (_, _, prints_) in _by_bucket(stream, 2, rows_at_once):
+            index = GrayIndex(buckets, np.ascontiguousarray(prints_.to_numpy()).view(np.uint64))
+            label = index.forest(most)
+            linked = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(index.values[label[linked]].view(np.int64)), pa.array(index.values[linked].view(np.int64))], names=["a", "b"])
 
     parts = common.shuffle_parts(prints.sparkSession)
     dealt = bucketed(prints, most, largest).repartition(parts, "mask", "value").sortWithinPartitions("mask", "value")
@@ -243,14 +369,22 @@ def near_links(prints: DataFrame, most: int = MAX_BITS, largest: int = BUCKET, r
 def components(links: DataFrame) -> DataFrame:
     """links (a, b) -> node, root: every node that has links, and the smallest node of its component.
 
-    Each round sends every node to its smallest neighbour and contracts the links;
-    each table is written, so lost executors cost no earlier round.
+    Each round sends every node to its smallest neighbour, doubles these pointers until
+    they end, and contracts the links, so chains in any order take few rounds. Each
+    table is written, so lost executors cost no earlier round.
     """
     edges = common.written(links.where("a <> b").distinct(), "links")
     roots = None
     while not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
         best = common.written(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("root")), "best")
+        while True:
+            onward = best.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+            doubled = best.join(onward, "root", "left")
+            doubled = common.written(doubled.select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "best")
+            best = doubled.drop("moved")
+            if doubled.where("moved").isEmpty():
+                break
         if roots is None:
             roots = best
         else:
@@ -263,6 +397,64 @@ def components(links: DataFrame) -> DataFrame:
     return roots
 
 
+def sketches(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
+    """texts(node, text) -> node, print, mins (the min-hashes), in one pass without a shuffle."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.batches(stream, 4 << 20):
+            hashes = [shingle_hashes(t or "", shingle) for t in batch.column(1).to_pylist()]
+            prints = np.array([simhash(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            mins = np.array([min_hashes(h) for h in hashes], dtype=np.uint64).view(np.int64)
+            offsets = np.arange(len(hashes) + 1, dtype=np.int32) * mins.shape[1]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(mins.ravel()))], names=["node", "print", "mins"])
+
+    return texts.select("node", "text").mapInArrow(run, "node string, print long, mins array<long>")
+
+
+def min_bucketed(made: DataFrame, largest: int = BUCKET) -> DataFrame:
+    """sketches -> (key, node, print): MINS buckets for each node; those of over ``largest`` nodes are dealt again, LEVELS times at most."""
+    rows, ready = made.withColumn("key", F.lit(0).cast("long")), None
+    for level in range(LEVELS):
+        keys = F.array(*[F.xxhash64("key", F.lit(level * MINS + k), F.col("mins")[level * MINS + k]) for k in range(MINS)])
+        rows = rows.select(F.explode(keys).alias("key"), "node", "print", "mins")
+        if level == LEVELS - 1:
+            break
+        rows = common.written(rows, "near-buckets")
+        large = common.written(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > largest).select("key"), "near-large")
+        small = rows.join(large, "key", "left_anti").drop("mins")
+        ready = small if ready is None else ready.unionByName(small)
+        if large.isEmpty():
+            return ready
+        rows = rows.join(large, "key", "left_semi")
+    return ready.unionByName(rows.drop("mins"))
+
+
+def near_duplicates(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = NEAR_BITS, largest: int = BUCKET, rows_at_once: int = 100_000) -> DataFrame:
+    """Different texts(node string, text) -> links (a, b) of exact similarity at least ``similarity``.
+
+    A null text is the empty text; texts without words are alike. Each bucket gives some forests, never all its pairs.
+    """
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buckets, (_, nodes, prints_) in _by_bucket(stream, 1, rows_at_once):
+            index = GrayIndex(buckets, np.ascontiguousarray(prints_.to_numpy()).view(np.uint64))
+            a, b = (nodes.take(pa.array(index.order[x])) for x in index.closest(bits))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    @F.pandas_udf("double")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([jaccard(x or "", y or "", shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+    parts = common.shuffle_parts(texts.sparkSession)
+    dealt = min_bucketed(sketches(texts, shingle), largest).repartition(parts, "key").sortWithinPartitions("key")
+    links = dealt.select("key", "node", "print").mapInArrow(run, "a string, b string")
+    links = common.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    held = common.written(texts.join(linked, "node", "left_semi").select("node", "text"), "near-texts")
+    pairs = links.join(held.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    return pairs.where(alike("one", "other") >= similarity).select("a", "b")
+
+
 def near_groups(documents: DataFrame, most: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:
     """documents -> doc_id, print, component_id: the smallest doc_id that links reach."""
     made = common.written(fingerprints(documents, shingle), "prints")

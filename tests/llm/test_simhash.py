@@ -76,3 +76,54 @@ def test_documents(spark):
             first[g] = min(first.get(g, i), i)
     assert found == sorted(((i, p, first.get(g)) for (i, *_), p, g in zip(rows, prints, group, strict=True)), key=str)
     assert simhash.near_groups(fixtures.empty_documents(spark)).collect() == []
+
+
+def plain_similarity(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in (a, b)))
+    return len(x & y) / len(x | y)
+
+
+def test_lightest_forest():
+    r = random.Random(3)
+    for _ in range(40):
+        n = r.randrange(2, 40)
+        edges = [(r.randrange(n), r.randrange(n), r.randrange(6)) for _ in range(r.randrange(120))]
+        edges = [e for e in edges if e[0] != e[1]]
+        kept = simhash.spanning(n, *(np.array([e[k] for e in edges], dtype=np.int64) for k in range(3))).tolist()
+        p, want = list(range(n)), []
+        for k in sorted(range(len(edges)), key=lambda k: (edges[k][2], k)):
+            a, b, _ = edges[k]
+            if p[a] != p[b]:
+                old, new = p[a], p[b]
+                p = [new if x == old else x for x in p]
+                want.append(k)
+        assert kept == sorted(want)
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    r = random.Random(6)
+    base = fixtures.texts(40)
+    texts = dict.fromkeys([*base, "", " ", "two words", "two  words", "one two three four five six"])
+    for t in base:
+        words = t.split()
+        for _ in range(6):
+            changed = list(words)
+            for _ in range(max(1, int(len(words) * r.choice([0.005, 0.01, 0.02, 0.03])))):
+                changed[r.randrange(len(changed))] = r.choice(words)
+            texts[" ".join(changed)] = None
+    texts = list(texts)
+    pairs = {(f"{i:04d}", f"{j:04d}") for i in range(len(texts)) for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8}
+    table = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "node string, text string")
+    for largest in (1000, 5):
+        links = simhash.near_duplicates(table, largest=largest)
+        found = [(x.b, x.a) for x in links.collect()]
+        assert set(found) <= pairs and len(found) == len(set(found))
+        root = {x.node: x.root for x in simhash.components(links).collect()}
+        apart = [(a, b) for a, b in pairs if root.get(a, a) != root.get(b, b)]
+        assert len(pairs) > 200 and len(apart) <= 0.02 * len(pairs), (len(pairs), len(apart))
+    assert simhash.near_duplicates(spark.createDataFrame([], "node string, text string")).collect() == []
+
+
+def test_long_chains_take_few_rounds(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 500), (7, 7)], "a long, b long")
+    assert {x.node: x.root for x in simhash.components(chain).collect()} == {**dict.fromkeys(range(201), 0), 400: 400, 500: 400}
