@@ -40,13 +40,13 @@ def islands(points: DataFrame, keys: list[str], seq: str, block: int = BLOCK) ->
     return inside.where("NOT _edge").select(*keys, "lo", "hi").unionByName(joined.select(*keys, "lo", "hi"))
 
 
-def union(intervals: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+def union(intervals: DataFrame, keys: list[str], blocks: int | None = None) -> DataFrame:
     """Any intervals -> the canonical set that they cover."""
     # of equal lows the longest holds the others, so one row for each low is enough
     longest = intervals.groupBy(*keys, "lo").agg(F.max("hi").alias("hi"))
-    reach = running.running(longest, keys, "lo", block, inclusive=False, reach=("max", F.col("hi")))
+    reach = running.running(longest, keys, "lo", blocks, inclusive=False, reach=("max", F.col("hi")))
     starts = reach.withColumn("_new", F.when(F.col("reach").isNull() | (F.col("lo") > F.col("reach") + 1), 1).otherwise(0))
-    numbered = running.running(starts, keys, "lo", block, _g=("sum", F.col("_new")))
+    numbered = running.running(starts, keys, "lo", blocks, _g=("sum", F.col("_new")))
     return numbered.groupBy(*keys, "_g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_g")
 
 
@@ -59,12 +59,15 @@ def contains(points: DataFrame, intervals: DataFrame, keys: list[str], seq: str)
 
 
 def uncovered(required: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
-    """Intervals of required that no single interval of the canonical set held covers; none: held covers required."""
-    there = held.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    on = (F.col("_lo") <= F.col("lo")) & (F.col("_hi") >= F.col("hi"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return required.join(there, on, "left_anti")
+    """Intervals of required that no single interval of the canonical set held covers; none: held covers required.
+
+    Both are laid in one order; the interval of held that begins last at or before a low bound is the only one that can cover it.
+    """
+    ours = required.select(*keys, "lo", "hi", F.lit(1).alias("_side"))
+    there = held.select(*keys, "lo", "hi", F.lit(0).alias("_side"))
+    place = F.col("lo").cast("decimal(20,0)") * 2 + F.col("_side")
+    seen = running.running(ours.unionByName(there).withColumn("_o", place.cast("decimal(22,0)")), keys, "_o", _reach=("max", F.when(F.col("_side") == 0, F.col("hi"))))
+    return seen.where((F.col("_side") == 1) & (F.col("_reach").isNull() | (F.col("_reach") < F.col("hi")))).select(*required.columns)
 
 
 def remaining(wanted: DataFrame, done: DataFrame, keys: list[str], through_endpoints: bool = False) -> DataFrame:
@@ -74,13 +77,15 @@ def remaining(wanted: DataFrame, done: DataFrame, keys: list[str], through_endpo
     """
     if through_endpoints:
         wanted = wanted.groupBy(*keys).agg(F.lit(1).cast("long").alias("lo"), F.max("hi").alias("hi"))
-    sizes = wanted.groupBy(*keys).agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("wanted"))
-    there = done.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
-    on = (F.col("_lo") <= F.col("hi")) & (F.col("_hi") >= F.col("lo"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    overlap = wanted.join(there, on).groupBy(*keys).agg(F.sum(F.least("hi", "_hi") - F.greatest("lo", "_lo") + 1).alias("done"))
-    return sizes.join(overlap, keys, "left").select(*keys, (F.col("wanted") - F.coalesce("done", F.lit(0))).alias("remaining"))
+    # |wanted less done| = |wanted or done| - |done|: two sums over disjoint intervals, and no interval meets another one
+    size = F.sum((F.col("hi").cast("decimal(20,0)") - F.col("lo") + 1).cast("decimal(20,0)"))
+    both = union(wanted.select(*keys, "lo", "hi").unionByName(done.select(*keys, "lo", "hi")), keys).groupBy(*keys).agg(size.alias("both"))
+    own = done.groupBy(*keys).agg(size.alias("done"))
+    there = wanted.select(*keys).distinct()
+    on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    joined = there.alias("w").join(both.alias("b"), on("w", "b")).join(own.alias("d"), on("w", "d"), "left")
+    left = F.col("both") - F.coalesce("done", F.lit(0).cast("decimal(20,0)"))
+    return joined.select(*[F.col(f"w.{k}").alias(k) for k in keys], F.least(left, F.lit(2**63 - 1).cast("decimal(38,0)")).cast("long").alias("remaining"))
 
 
 def canonical_text(intervals: DataFrame, sid: str = "sid", tag: str | None = None) -> DataFrame:

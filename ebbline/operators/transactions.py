@@ -34,10 +34,8 @@ def assemble(events: DataFrame, order: str, kind: str, keys: list[str] = ()) ->
     keys = list(keys)
     start = F.col(kind).isin(*STARTS).cast("int")
     end = F.col(kind).isin(*ENDS).cast("int")
-    numbered = running.running(events, keys, order, _starts=("sum", start))
     # the order of the last start and of the last end before this event: open while no end has come since
-    marked = running.running(numbered, keys, order, inclusive=False, _ended=("max", F.when(end == 1, F.col(order))))
-    marked = running.running(marked, keys, order, _started=("max", F.when(start == 1, F.col(order))))
+    marked = running.running(events, keys, order, _starts=("sum", start), _ended=("max", F.when(end == 1, F.col(order)), False), _started=("max", F.when(start == 1, F.col(order))))
     open_ = F.col("_started").isNotNull() & (F.col("_ended").isNull() | (F.col("_ended") < F.col("_started")))
     return marked.withColumn("txn", F.when(open_, F.col("_starts"))).drop("_starts", "_ended", "_started")
 
@@ -60,6 +58,18 @@ def transactions(assembled: DataFrame, order: str, kind: str, size: str, keys: l
     return groups.withColumn("outcome", outcome).withColumn("error", error).drop("end")
 
 
+#: Transactions after which a run may be told to stop.
+STOP_RANGE = (1, 1_000_000)
+
+
+def first_transactions(assembled: DataFrame, order: str, most: int) -> DataFrame:
+    """The events of the first ``most`` transactions of a log in one order, and what stands between them; nothing after the last one's end."""
+    if not STOP_RANGE[0] <= most <= STOP_RANGE[1]:
+        raise ValueError(f"between {STOP_RANGE[0]} and {STOP_RANGE[1]} transactions")
+    last = assembled.where(F.col("txn") == most).agg(F.max(order).alias("_last"))
+    return assembled.crossJoin(F.broadcast(last)).where(F.col("_last").isNull() | (F.col(order) <= F.col("_last"))).drop("_last")  # one row
+
+
 def gaps(events: DataFrame, order: str, start: str, end: str, keys: list[str], excluded: DataFrame | None = None) -> DataFrame:
     """Events that don't start where the event before them ended. excluded (keys, lo, hi): ranges that the source has left out, which are no gaps."""
     seen = running.previous(events, keys, order, _end=F.col(end))
