@@ -77,15 +77,56 @@ def ddl_scope(scoped: DataFrame, group: str, dropped: str) -> DataFrame:
     return scoped.groupBy(group).agg(F.when(F.min(dropped) != F.max(dropped), "mixed").when(F.max(dropped), "ignored").otherwise("included").alias("scope"))
 
 
-def without_covered(rows: DataFrame, covered: DataFrame, keys: list[str], seq: str, block: int = 1 << 16) -> DataFrame:
-    """rows whose seq no interval (keys, lo, hi) of covered holds. Intervals are cut at blocks of seq, so the join is an equi-join on (keys, block)."""
-    pieces = covered.select(*keys, "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / block), F.floor(F.col("hi") / block))).alias("_block"))
-    there = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "lo", "hi", F.col("_block").alias("_b"))
-    left = rows.withColumn("_block", F.floor(F.col(seq) / block))
-    on = (F.col("_block") == F.col("_b")) & F.col(seq).between(F.col("lo"), F.col("hi"))
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return left.join(there, on, "left_anti").drop("_block")
+#: Bits of a digit by which numbers and intervals are cut; four digits make 64 bits.
+DIGIT = 16
+
+
+def interval_pieces(intervals: DataFrame, keys: list[str], level: int) -> DataFrame:
+    """(keys, _parent, _from, _to): the parts of closed intervals (lo, hi) that are cut at this level.
+
+    At level k a number counts by ``DIGIT * k`` bits fewer. The first and the last unit range of
+    an interval that do not fill their parent are pieces; whole parents between them go
+    to the next level. So an interval of any width has at most two pieces a level, each in one parent.
+    """
+    now = intervals.select(*keys, F.col("lo").cast("long").alias("_from"), F.col("hi").cast("long").alias("_to")).where("_from <= _to")
+    up = lambda c, k=1: F.shiftright(F.col(c), DIGIT * k)
+    for _ in range(level):
+        now = now.select(*keys, (up("_from") + 1).alias("_from"), (up("_to") - 1).alias("_to")).where("_from <= _to")
+    if level == 3:
+        return now.select(*keys, F.lit(0).cast("long").alias("_parent"), "_from", "_to")
+    first, last = up("_from"), up("_to")
+    size = 1 << DIGIT
+    one = F.array(F.struct(first.alias("p"), F.col("_from").alias("a"), F.col("_to").alias("b")))
+    two = F.array(
+        F.struct(first.alias("p"), F.col("_from").alias("a"), (first * size + (size - 1)).alias("b")),
+        F.struct(last.alias("p"), (last * size).alias("a"), F.col("_to").alias("b")),
+    )
+    return now.select(*keys, F.explode(F.when(first == last, one).otherwise(two)).alias("_x")).select(*keys, F.col("_x.p").alias("_parent"), F.col("_x.a").alias("_from"), F.col("_x.b").alias("_to"))
+
+
+def interval_levels(intervals: DataFrame) -> int:
+    """Levels at which any of the intervals has pieces. The driver sees one number."""
+    widest = intervals.agg(F.max(F.floor(F.log2((F.col("hi").cast("double") - F.col("lo").cast("double") + 2)))).alias("bits")).first()["bits"]
+    return 0 if widest is None else min(4, int(widest) // DIGIT + 1)
+
+
+def without_covered(rows: DataFrame, covered: DataFrame, keys: list[str], seq: str) -> DataFrame:
+    """rows whose seq (not null) no closed interval (keys, lo, hi) of covered holds; a null key is a key like any other.
+
+    Intervals of any width to 2**63 - 1 are cut into pieces that lie in one parent range of numbers each, so
+    each level is an equi-join on (keys, parent), and one source's intervals never meet in one task.
+    """
+    left = rows
+    for level in range(interval_levels(covered)):
+        pieces = interval_pieces(covered, keys, level)
+        there = pieces.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_parent", "_from", "_to")
+        number = F.col(seq).cast("long")
+        parent = F.shiftright(number, DIGIT * (level + 1)) if level < 3 else F.lit(0).cast("long")
+        on = (parent == F.col("_parent")) & F.shiftright(number, DIGIT * level).between(F.col("_from"), F.col("_to"))
+        for i, k in enumerate(keys):
+            on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        left = left.join(there, on, "left_anti")
+    return left
 
 
 def after_boundary(file: Column, position: Column, start_file: str, start_position: int) -> Column:
@@ -159,11 +200,61 @@ def violation(value: Column, kind: str, nullable: bool = True, unsigned: bool =
     raise ValueError(f"unknown kind {kind}")
 
 
-#: Error codes that an apply may skip, and where: before any write, or after the group was rolled back.
+#: Where an apply may skip an error: before any write, or after the group was rolled back.
 SKIP_BOUNDARIES = ("before_writes", "rolled_back")
 
+#: The error codes by their public names.
+ERROR_CODES = ("ddl.unsupported_statement", "ddl.unsupported_column_type", "ddl.unsupported_alter", "ddl.unsupported_collation", "dml.multiple_statements", "dml.multiple_tables", "mysql.1062", "target.sql")
+DUPLICATE_KEY, NEVER_SKIPPED = "mysql.1062", "target.sql"
+
+
+class PolicyError(ValueError):
+    """A policy that names what may not be allowed."""
+
+
+def skip_rules(codes: Sequence[str]) -> list[tuple[str, str]]:
+    """(code, boundary) at which each of the distinct codes may be skipped: a duplicate key after its rollback, any other before writes."""
+    if len(set(codes)) != len(codes) or not set(codes) <= set(ERROR_CODES) or NEVER_SKIPPED in codes:
+        raise PolicyError(f"codes must be distinct, known and not {NEVER_SKIPPED}: {list(codes)}")
+    return [(c, "rolled_back" if c == DUPLICATE_KEY else "before_writes") for c in codes]
 
-def split_skips(errors: DataFrame, allowed: DataFrame, duplicate_key: int = 1062) -> tuple[DataFrame, DataFrame]:
-    """errors(code, boundary, ...) -> (skipped, fatal). allowed has (code, boundary); a duplicate key may be skipped only after a rollback."""
-    rules = allowed.where((F.col("code") != duplicate_key) | (F.col("boundary") == "rolled_back")).select("code", "boundary").distinct()
-    return errors.join(rules, ["code", "boundary"], "left_semi"), errors.join(rules, ["code", "boundary"], "left_anti")
+
+def split_skips(errors: DataFrame, codes: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """errors(code, boundary, ...) -> (skipped, fatal) under a policy that names the codes; unknown codes and boundaries are fatal."""
+    allowed = F.lit(False)
+    for code, boundary in skip_rules(codes):
+        allowed = allowed | ((F.col("code") == code) & (F.col("boundary") == boundary))
+    allowed = F.coalesce(allowed, F.lit(False))
+    return errors.where(allowed), errors.where(~allowed)
+
+
+def skipped_by_code(skips: DataFrame, code: str = "code") -> DataFrame:
+    """Skips of each code: (code, n)."""
+    return skips.groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"))
+
+
+_COMMENTS = r"(?s)\A(?:\s+|/\*(?![!M]).*?\*/|--[ \t][^\n]*(?:\n|\z)|#[^\n]*(?:\n|\z))*"
+_QUALIFIER = r"(?:\s+(?:OR\s+REPLACE|DEFINER\s*=\s*(?:CURRENT_USER(?:\s*\(\s*\))?|(?:`(?:[^`]|``)*`|'(?:[^']|'')*'|[^\s@`']+)(?:\s*@\s*(?:`(?:[^`]|``)*`|'(?:[^']|'')*'|\S+))?)))*"
+_NAME = r"(?:`(?:[^`]|``)+`|[\w$]+)(?:\s*\.\s*(?:`(?:[^`]|``)+`|[\w$]+))?"
+_CLEANUP = rf"(?i)^DROP\s+TEMPORARY\s+TABLE\s+IF\s+EXISTS\s+{_NAME}(?:\s*,\s*{_NAME})*\s*(?:/\*.*\*/)?\s*;?\s*$"
+
+
+def ddl_policy(sql: Column, triggers: str = "skip", cleanup: bool = False, failed: Column | None = None) -> Column:
+    """What becomes of a statement: struct of action (apply, skip, reject or error) and reason.
+
+    Triggers are skipped or rejected; events are always rejected, as their writes would be made
+    without a log; with ``cleanup`` (sources that log it among row events) a plain DROP TEMPORARY TABLE IF EXISTS
+    is skipped. failed: the statement failed at its source, so it may not be skipped. A null text is null.
+    """
+    if triggers not in ("skip", "reject"):
+        raise PolicyError("triggers are skipped or rejected")
+    failed = F.coalesce(failed, F.lit(False)) if failed is not None else F.lit(False)
+    plain = F.rtrim(F.regexp_replace(F.regexp_replace(sql, _COMMENTS, ""), r"(?s)/\*![0-9]*\s*(.*?)\s*\*/", " $1 "))
+    head = lambda kind: F.trim(plain).rlike(rf"(?is)^(?:CREATE{_QUALIFIER}|ALTER{_QUALIFIER}|DROP)\s+{kind}\b")
+    answer = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).cast("string").alias("reason"))
+    skipped = lambda reason: F.when(failed, answer("error", "a failed statement cannot be skipped")).otherwise(answer("skip", reason))
+    out = F.when(sql.isNull(), F.lit(None)).when(head("EVENT"), answer("reject", "events"))
+    out = out.when(head("TRIGGER"), answer("reject", "triggers") if triggers == "reject" else skipped("triggers"))
+    if cleanup:
+        out = out.when(F.trim(plain).rlike(_CLEANUP), skipped("temporary tables"))
+    return out.otherwise(answer("apply", None))

@@ -21,6 +21,18 @@ def keyed_snapshot(log: DataFrame, keys: list[str], seq: str, op: str, columns:
     return newest.where(F.col("_last")[op] != "delete").select(*keys, *[F.col("_last")[c].alias(c) for c in [seq, *columns]])
 
 
+def update_fold(log: DataFrame, keys: list[str], seq: str, op: str, columns: list[str]) -> DataFrame:
+    """What the updates alone make of each key: the newest image, the order of the last update and how many there were. Keys must not move."""
+    newest = log.where(F.col(op) == "update").groupBy(*keys).agg(F.max_by(F.struct(*columns), F.col(seq)).alias("_last"), F.max(seq).alias("last_seq"), F.count("*").alias("updates"))
+    return newest.select(*keys, "last_seq", "updates", *[F.col("_last")[c].alias(c) for c in columns])
+
+
+def deleted_keys(log: DataFrame, keys: list[str], seq: str, op: str) -> DataFrame:
+    """Keys whose newest change deletes them, with its order."""
+    newest = log.groupBy(*keys).agg(F.max_by(op, seq).alias("_op"), F.max(seq).alias("deleted_at"))
+    return newest.where("_op = 'delete'").drop("_op")
+
+
 def split_key_moves(log: DataFrame, old_keys: list[str], new_keys: list[str], keys: list[str], op: str) -> DataFrame:
     """An update that changes the key becomes a delete of the old key (sub 0) and an insert of the new one (sub 1).
 

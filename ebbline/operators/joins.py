@@ -32,6 +32,20 @@ def temporal(events: DataFrame, history: DataFrame, keys: list[str], order: str,
     return events.join(versions, on, "left").drop(*[f"_k_{k}" for k in keys])
 
 
+def map_history(maps: DataFrame, history: DataFrame, offset: str = "offset", sha: str = "sha256", identity: tuple[str, ...] = ("table_id", "db", "tbl")) -> DataFrame:
+    """Table maps against a recorded schema history, by offset and fingerprint of the map event -> maps with the history's other columns and match.
+
+    match: same; identity (that event is recorded for another table: an error); unknown (an event that the history does not hold). Offsets are
+    unique within a history, so a map meets one row. Names compare by bytes; a null is like no value but null.
+    """
+    there = history.select(F.col(offset).alias("_o"), F.col(sha).alias("_s"), F.struct(*identity).alias("_id"), *[c for c in history.columns if c not in (offset, sha, *identity)])
+    joined = maps.join(there, (F.col(offset) == F.col("_o")) & (F.col(sha) == F.col("_s")), "left")
+    same = F.lit(True)
+    for c in identity:
+        same = same & F.col(c).cast("binary" if c != identity[0] else "string").eqNullSafe(F.col("_id")[c].cast("binary" if c != identity[0] else "string"))
+    return joined.withColumn("match", F.when(F.col("_o").isNull(), "unknown").when(same, "same").otherwise("identity")).drop("_o", "_s", "_id")
+
+
 def versions(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Changes of a schema -> its versions with valid_from and valid_to."""
     after = running.previous(changes.withColumn("_o", -F.col(order)), keys, "_o", valid_to=F.col(order))

@@ -21,6 +21,12 @@ def counters(groups: DataFrame, by: list[str], outcome: str, events: str, size:
     )
 
 
+def summary_lines(totals: DataFrame, by: list[str]) -> DataFrame:
+    """Totals as JSON lines, one for each group: its keys, then the other columns by name. Nulls are written as null."""
+    rest = sorted(c for c in totals.columns if c not in by)
+    return totals.select(F.to_json(F.struct(*by, *rest), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def stage_times(spans: DataFrame, stage: str, parent: str, total: str, failed: str) -> DataFrame:
     """Per stage: calls, failures, total, longest, and self time (total less that of the stages it calls)."""
     own = spans.groupBy(F.col(stage).alias("stage")).agg(F.count("*").alias("calls"), F.count_if(F.col(failed)).alias("failures"), F.sum(total).alias("total"), F.max(total).alias("longest"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import batching, joins, metrics, partitions
+from ..operators import batching, filters, joins, metrics, partitions
 from ..sources import tables
 
 
@@ -40,11 +40,19 @@ def jon2_schema_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.temporal(_t(spark, sf_dir, "events"), history, ["event_type"], "event_id").select("event_id", "version")
 
 
-@query("jon3_map_history", "SELECT n_nationkey, r_name, false AS unknown FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' UNION ALL SELECT n_nationkey, NULL, true FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
+@query(
+    "jon3_map_history",
+    """
+    SELECT event_id, CASE WHEN event_id % 10 = 0 OR event_id % 7 = 3 THEN 'unknown' WHEN event_id % 6 = 1 THEN 'identity' ELSE 'same' END AS match, CASE WHEN event_id % 10 <> 0 AND event_id % 7 <> 3 THEN 'v' || (event_id % 4) END AS version FROM events
+    """,
+)
 def jon3_map_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    maps = _t(spark, sf_dir, "nation").withColumn("sha", F.sha2(F.col("n_regionkey").cast("string").cast("binary"), 256))
-    history = _t(spark, sf_dir, "region").where("r_name <> 'ASIA'").select(F.sha2(F.col("r_regionkey").cast("string").cast("binary"), 256).alias("sha"), "r_name")
-    return maps.join(history, "sha", "left").select("n_nationkey", "r_name", F.col("r_name").isNull().alias("unknown"))
+    """Some maps are not in the history, some are there with another body, some for another table."""
+    body = F.col("event_type").cast("binary")
+    maps = _t(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 40).alias("offset"), F.sha2(body, 256).alias("sha256"), (F.col("event_id") % 9).alias("table_id"), F.lit("app").alias("db"), "event_type")
+    maps = maps.withColumnRenamed("event_type", "tbl")
+    history = maps.where("event_id % 10 <> 0").select("offset", F.when(F.col("event_id") % 7 == 3, F.sha2(F.lit("other").cast("binary"), 256)).otherwise(F.col("sha256")).alias("sha256"), "table_id", "db", F.when(F.col("event_id") % 6 == 1, F.upper("tbl")).otherwise(F.col("tbl")).alias("tbl"), F.concat(F.lit("v"), (F.col("event_id") % 4).cast("string")).alias("version"))
+    return joins.map_history(maps, history).select("event_id", "match", "version")
 
 
 @query(
@@ -173,7 +181,7 @@ def agg1_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("agg2_skips", "SELECT event_type AS code, count(*) AS n FROM events GROUP BY 1")
 def agg2_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "events").groupBy(F.col("event_type").alias("code")).agg(F.count("*").alias("n"))
+    return filters.skipped_by_code(_t(spark, sf_dir, "events"), "event_type")
 
 
 _SPANS = "SELECT 'run' AS stage, NULL AS parent, event_id % 90 + 40 AS t, event_id % 50 = 0 AS failed FROM events UNION ALL SELECT CASE WHEN event_id % 2 = 0 THEN 'decode' ELSE 'apply' END, 'run', event_id % 30, false FROM events UNION ALL SELECT 'read', 'decode', event_id % 7, event_id % 70 = 0 FROM events"

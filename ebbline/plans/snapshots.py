@@ -58,8 +58,7 @@ def mut2_duplicate_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def mut3_update_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = tables.event_log(spark, sf_dir).where("op = 'update'")
-    return log.groupBy("user_id").agg(F.max("seq").alias("last_seq"), F.count("*").alias("updates"), F.round(F.max_by("value", "seq"), 6).alias("value"))
+    return fold.update_fold(tables.event_log(spark, sf_dir), ["user_id"], "seq", "op", ["value"]).withColumn("value", F.round("value", 6))
 
 
 _MOVES = f"""
@@ -85,8 +84,7 @@ def mut4_key_move(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("mut5_deleted_keys", f"SELECT user_id, max(event_id) AS deleted_at FROM events GROUP BY user_id HAVING arg_max({_OP}, event_id) = 'delete'")
 def mut5_deleted_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = tables.event_log(spark, sf_dir)
-    return log.groupBy("user_id").agg(F.max("seq").alias("deleted_at"), F.max_by("op", "seq").alias("op")).where("op = 'delete'").drop("op")
+    return fold.deleted_keys(tables.event_log(spark, sf_dir), ["user_id"], "seq", "op")
 
 
 _LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag"]

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import query
-from ..operators import filters, gtid, transactions
+from ..functions import scalars
+from ..operators import filters, gtid, metrics, transactions
 from ..sources import binlog, tables
 
 
@@ -120,26 +122,37 @@ def flt10_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("flt12_ddl_policy", "SELECT p_type AS statement, count(*) AS n, CASE WHEN p_type LIKE 'PROMO%' THEN 'skip' WHEN p_type LIKE 'ECONOMY%' THEN 'reject' ELSE 'apply' END AS action FROM part GROUP BY p_type")
+_STATEMENTS = [
+    "CREATE TRIGGER t{} BEFORE INSERT ON a FOR EACH ROW SET @x = 1", "create definer=`r o`@`%` trigger `t{}` AFTER DELETE ON b FOR EACH ROW DELETE FROM c", "/* x */ DROP TRIGGER IF EXISTS app.t{}",
+    "CREATE EVENT e{} ON SCHEDULE EVERY 1 DAY DO DELETE FROM a", "ALTER DEFINER = CURRENT_USER EVENT e{} DISABLE", "DROP TEMPORARY TABLE IF EXISTS `a`.`tmp{}`, tmp2", "DROP TEMPORARY TABLE tmp{}", "CREATE TABLE trigger_log{} (event INT)",
+]
+
+
+@query(
+    "flt12_ddl_policy",
+    """
+    SELECT event_id, CASE WHEN event_id % 8 < 3 AND event_id % 5 = 0 THEN 'error' WHEN event_id % 8 < 3 THEN 'skip' WHEN event_id % 8 < 5 THEN 'reject' WHEN event_id % 8 = 5 AND event_id % 5 = 0 THEN 'error' WHEN event_id % 8 = 5 THEN 'skip' ELSE 'apply' END AS action,
+      CASE WHEN event_id % 8 IN (0, 1, 2, 5) AND event_id % 5 = 0 THEN 'a failed statement cannot be skipped' WHEN event_id % 8 < 3 THEN 'triggers' WHEN event_id % 8 < 5 THEN 'events' WHEN event_id % 8 = 5 THEN 'temporary tables' END AS reason
+    FROM events
+    """,
+)
 def flt12_ddl_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part types stand for statement heads: one head is skipped, one rejected, the others applied."""
-    heads = tables.table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("statement")).agg(F.count("*").alias("n"))
-    return heads.withColumn("action", F.when(F.col("statement").startswith("PROMO"), "skip").when(F.col("statement").startswith("ECONOMY"), "reject").otherwise("apply"))
+    text = F.get(F.array(*[F.lit(t) for t in _STATEMENTS]), (F.col("event_id") % 8).cast("int"))
+    statement = F.replace(text, F.lit("{}"), F.col("event_id").cast("string"))
+    return _events(spark, sf_dir).select("event_id", filters.ddl_policy(statement, "skip", True, F.col("event_id") % 5 == 0).alias("p")).select("event_id", "p.*")
 
 
 @query(
     "flt13_skip_errors",
     """
-    SELECT code, boundary, count(*) AS n, boundary = 'rolled_back' OR code = 1050 AS skipped FROM (
-      SELECT CASE event_id % 3 WHEN 0 THEN 1062 WHEN 1 THEN 1050 ELSE 1146 END AS code, CASE event_id % 2 WHEN 0 THEN 'before_writes' ELSE 'rolled_back' END AS boundary FROM events)
-    WHERE code <> 1146 GROUP BY code, boundary
-    UNION ALL SELECT 1146, CASE event_id % 2 WHEN 0 THEN 'before_writes' ELSE 'rolled_back' END, count(*), false FROM events WHERE event_id % 3 = 2 GROUP BY 2
+    SELECT code, boundary, count(*) AS n, (code = 'mysql.1062' AND boundary = 'rolled_back') OR (code = 'ddl.unsupported_alter' AND boundary = 'before_writes') AS skipped FROM (
+      SELECT ['mysql.1062', 'ddl.unsupported_alter', 'target.sql', 'dml.multiple_tables'][event_id % 4 + 1] AS code, CASE event_id % 3 WHEN 0 THEN 'before_writes' ELSE 'rolled_back' END AS boundary FROM events) GROUP BY code, boundary
     """,
 )
 def flt13_skip_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    errors = _events(spark, sf_dir).select(F.when(F.col("event_id") % 3 == 0, 1062).when(F.col("event_id") % 3 == 1, 1050).otherwise(1146).alias("code"), F.when(F.col("event_id") % 2 == 0, "before_writes").otherwise("rolled_back").alias("boundary"))
-    allowed = spark.createDataFrame([(1062, "before_writes"), (1062, "rolled_back"), (1050, "before_writes"), (1050, "rolled_back")], "code int, boundary string")
-    skipped, fatal = filters.split_skips(errors, allowed)
+    codes = F.array(*[F.lit(c) for c in ("mysql.1062", "ddl.unsupported_alter", "target.sql", "dml.multiple_tables")])
+    errors = _events(spark, sf_dir).select(F.get(codes, (F.col("event_id") % 4).cast("int")).alias("code"), F.when(F.col("event_id") % 3 == 0, "before_writes").otherwise("rolled_back").alias("boundary"))
+    skipped, fatal = filters.split_skips(errors, ["mysql.1062", "ddl.unsupported_alter"])
     return skipped.withColumn("skipped", F.lit(True)).unionByName(fatal.withColumn("skipped", F.lit(False))).groupBy("code", "boundary", "skipped").agg(F.count("*").alias("n"))
 
 
@@ -178,7 +191,7 @@ _PARTS = "SELECT event_type AS sid, event_id AS lo, event_id + event_id % 5 AS h
 )
 def set4_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _events(spark, sf_dir).where("event_id % 3 = 0").selectExpr("event_type AS sid", "event_id AS lo", "event_id + event_id % 5 AS hi")
-    return gtid.union(parts, ["sid"], block=256)
+    return gtid.union(parts, ["sid"], blocks=16)
 
 
 @query("set5_contains", f"SELECT event_id AS seq, event_type AS sid FROM events e WHERE EXISTS (SELECT 1 FROM {_COVERED} c(s, lo, hi) WHERE c.s = e.event_type AND e.event_id BETWEEN c.lo AND c.hi)")
@@ -235,9 +248,25 @@ def set10_stop_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gtid.prefix_until_covered(events, "event_id", ["event_type"], "event_id", target).select("event_id", "event_type")
 
 
-@query("ord4_stop_after_transactions", "SELECT event_id FROM events WHERE event_id < 250")
+@query("ord4_stop_after_transactions", "SELECT event_id FROM events WHERE event_id // 6 < 40")
 def ord4_stop_after_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _events(spark, sf_dir).where("event_id < 250").select("event_id")
+    """The events of the first 40 transactions, in which a transaction that lacks its end counts too."""
+    numbered = transactions.assemble(_stream(spark, sf_dir), "event_id", "kind")
+    return transactions.first_transactions(numbered, "event_id", 40).select("event_id")
+
+
+@query(
+    "flt7_wide_intervals",
+    """
+    SELECT event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM (VALUES ('click', 5::BIGINT, 4611686018427387904::BIGINT), ('view', 1099511627776, 9223372036854775806), ('error', 70000, 140737488355328)) c(s, lo, hi)
+      WHERE c.s = e.event_type AND CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id * 65536 WHEN 2 THEN event_id * 1099511627776 ELSE 9223372036854775807 - event_id END BETWEEN c.lo AND c.hi)
+    """,
+)
+def flt7_wide_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers up to 2**63 - 1 against intervals as wide as that."""
+    number = "CASE event_id % 4 WHEN 0 THEN event_id WHEN 1 THEN event_id * 65536 WHEN 2 THEN event_id * 1099511627776 ELSE 9223372036854775807 - event_id END AS gno"
+    covered = spark.createDataFrame([("click", 5, 1 << 62), ("view", 1 << 40, (1 << 63) - 2), ("error", 70000, 1 << 47)], "event_type string, lo long, hi long")
+    return filters.without_covered(_events(spark, sf_dir).selectExpr("event_id", "event_type", number), covered, ["event_type"], "gno").select("event_id")
 
 
 # transactions: event_id % 6 gives gtid, begin, table_map, rows, rows, xid (or rollback, or a lost end)
@@ -313,15 +342,27 @@ def dec12_operation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", F.try_element_at(table, code.cast("int")).alias("op"))
 
 
-@query("snk8_summary_lines", "SELECT '{\"event_type\":\"' || event_type || '\",\"n\":' || count(*) || '}' AS line FROM events GROUP BY event_type")
+@query(
+    "snk8_summary_lines",
+    """
+    SELECT '{"event_type":"' || event_type || '","applied":' || sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) || ',"bytes":' || sum(event_id % 100) || ',"errorSkipped":' || sum(CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END) || ',"events":' || sum(1 + event_id % 3) || ',"filtered":' || sum(CASE WHEN event_id % 3 = 2 THEN 1 ELSE 0 END) || ',"policySkipped":0,"transactions":' || count(*) || '}' AS line
+    FROM events GROUP BY event_type
+    """,
+)
 def snk8_summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = _events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
-    return counts.select(F.to_json(F.struct("event_type", "n")).alias("line"))
+    outcome = F.when(F.col("event_id") % 3 == 0, "applied").when(F.col("event_id") % 3 == 1, "errorSkipped").otherwise("filtered")
+    groups = _events(spark, sf_dir).select("event_type", outcome.alias("outcome"), (1 + F.col("event_id") % 3).alias("n"), (F.col("event_id") % 100).alias("size"))
+    return metrics.summary_lines(metrics.counters(groups, ["event_type"], "outcome", "n", "size", {}, F.lit(True)), ["event_type"])
 
 
-@query("dec8_packed_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+@query("dec8_packed_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '0000-00-00' WHEN o_orderkey % 13 = 0 THEN strftime(o_orderdate, '%Y-%m') || '-00' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders")
 def dec8_packed_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates packed into 24 bits (year, month in 4, day in 5) and read back by bit arithmetic."""
-    packed = (F.year("o_orderdate") * 512 + F.month("o_orderdate") * 32 + F.dayofmonth("o_orderdate")).cast("int")
-    day = F.format_string("%04d-%02d-%02d", F.shiftright(packed, 9), F.shiftright(packed, 5).bitwiseAND(F.lit(15)), packed.bitwiseAND(F.lit(31)))
-    return tables.table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"))
+    """Dates packed into 24 bits and read back by the decoder's own function; zero and partial dates stay as they are."""
+    packed = F.year("o_orderdate") * 512 + F.month("o_orderdate") * 32 + F.when(F.col("o_orderkey") % 13 == 0, 0).otherwise(F.dayofmonth("o_orderdate"))
+    packed = F.when(F.col("o_orderkey") % 11 == 0, 0).otherwise(packed).cast("int")
+
+    @F.pandas_udf("string")
+    def day(values: pd.Series) -> pd.Series:
+        return values.map(scalars.date_text)
+
+    return tables.table(spark, sf_dir, "orders").select("o_orderkey", day(packed).alias("day"))
