@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..catalog import query
 from ..functions import ddl
 from ..operators import joins, journal
@@ -14,11 +13,6 @@ from ..sources import tables
 from ..streaming import apply
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 LOG = [
     (0, "app", "CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, o_custkey BIGINT, o_totalprice DOUBLE)"),
     (500, "app", "ALTER TABLE orders ADD COLUMN o_flag INT DEFAULT 7 AFTER o_custkey"),
@@ -141,7 +135,7 @@ def str16_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def str_stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold as a stream: files are applied in micro-batches that replace themselves when run again."""
-    folder = _folder(spark, "stream")
+    folder = scratch.shared_dir(spark, "stream")
     schema = tables.table(spark, sf_dir, "events").schema
     stream = tables.as_event_log(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
     sink = apply.SnapshotSink(f"{folder}/state", ["user_id"], "seq", "op", ["event_type", "value"], ("event_type", "seq"))
@@ -157,10 +151,36 @@ def str_stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def str3_stream_assembler(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = _folder(spark, "assembler")
+    folder = scratch.shared_dir(spark, "assembler")
     schema = tables.table(spark, sf_dir, "events").schema
     kind = "CASE event_id % 6 WHEN 0 THEN 'gtid' WHEN 1 THEN 'begin' WHEN 2 THEN 'table_map' WHEN 3 THEN 'rows' WHEN 4 THEN 'rows_end' ELSE 'xid' END AS kind"
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").selectExpr("concat('f', event_id div 600) AS file", "event_id AS offset", kind, "19 + event_id % 80 AS size")
     assembled = apply.assemble_stream(stream)
     assembled.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(apply.OUTPUT).parquet(f"{folder}/out")
+
+
+@query(
+    "str4_batches_of_groups",
+    """
+    WITH e AS (SELECT *, event_id // 7 AS gno FROM events), c AS (
+      SELECT CASE WHEN event_id % 10 = 3 THEN user_id + 100000 ELSE user_id END AS id, event_id * 2 + 1 AS o, event_id AS seq, value, event_type FROM e WHERE gno % 11 <> 5
+      UNION ALL SELECT user_id, event_id * 2, event_id, value, 'error' FROM e WHERE gno % 11 <> 5 AND event_id % 10 = 3 AND event_type <> 'error' AND event_type <> 'signup')
+    SELECT id, seq, round(value, 6) AS value FROM (SELECT CASE WHEN event_type IN ('error', 'signup') AND id >= 100000 THEN CASE WHEN event_type = 'error' THEN id - 100000 ELSE id END ELSE id END AS id, o, seq, value, event_type FROM c)
+    QUALIFY row_number() OVER (PARTITION BY id ORDER BY o DESC) = 1 AND event_type <> 'error'
+    """,
+)
+def str4_batches_of_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of seven row changes in three batches, of which one comes twice, one overlaps the one before it, and the sink is compacted in between; keys move, and some groups are skipped."""
+    log = tables.event_log(spark, sf_dir)
+    moved = log.withColumn("id", F.when(F.col("seq") % 10 == 3, F.col("user_id") + 100_000).otherwise(F.col("user_id")))
+    changes = moved.select("seq", "op", "id", F.col("user_id").alias("old_id"), F.expr("seq div 7").alias("gno"), F.lit("a").alias("sid"), F.when(F.expr("seq div 7 % 11 = 5"), "mysql.1062").alias("code"), "value")
+    sink = apply.SnapshotSink(f"{scratch.shared_dir(spark, 'groups')}/state", ["id"], "seq", "op", ["value"], ("sid", "gno"), ["old_id"], "code")
+    top = log.agg(F.max("seq")).first()[0]
+    third = top // 21 * 7
+    sink(changes.where(F.col("seq") < third), 0)
+    sink(changes.where(F.col("seq").between(third - 70, 2 * third - 1)), 1)
+    sink(changes.where(F.col("seq").between(third - 70, 2 * third - 1)), 1)
+    sink.compact(spark)
+    sink(changes.where(F.col("seq") >= third), 2)
+    return sink.snapshot(spark).select("id", "seq", F.round("value", 6).alias("value"))

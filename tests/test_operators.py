@@ -168,12 +168,28 @@ def test_relay_records():
 
 
 def test_batches_run_again_replace_themselves(spark, tmp_path):
-    from ebbline.streaming.apply import SnapshotSink
+    import pytest
 
-    sink = SnapshotSink(str(tmp_path / "s"), ["k"], "seq", "op", ["v"], ("sid", "gno"))
-    schema = "sid string, gno long, seq long, op string, k long, v long"
-    first = spark.createDataFrame([("a", 1, 1, "insert", 1, 10), ("a", 2, 2, "insert", 2, 20)], schema)
-    second = spark.createDataFrame([("a", 2, 3, "update", 2, 99), ("a", 3, 4, "delete", 1, None), ("a", 4, 5, "insert", 3, 30)], schema)
+    from ebbline.streaming.apply import SinkError, SnapshotSink
+
+    sink = SnapshotSink(str(tmp_path / "s"), ["k"], "seq", "op", ["v"], ("sid", "gno"), ["old"], "code")
+    schema = "sid string, gno long, seq long, op string, old long, k long, v long, code string"
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    first = frame(("a", 1, 1, "insert", None, 1, 10, None), ("a", 1, 2, "insert", None, 2, 20, None), ("a", 1, 3, "insert", None, 3, 30, None), ("a", 2, 4, "delete", 2, None, None, "mysql.1062"))
+    again = [("a", 1, 1, "insert", None, 1, 10, None), ("a", 1, 2, "insert", None, 2, 20, None), ("a", 1, 3, "insert", None, 3, 30, None)]
+    second = frame(*again, ("a", 3, 5, "update", 1, 7, 11, None), ("a", 3, 6, "update", 2, 1, 21, None), ("a", 3, 7, "insert", None, 9, 90, None), (None, None, 8, "insert", None, 50, 5, None))
+    state = lambda: {r.k: r.v for r in sink.snapshot(spark).collect()}
     for batch, number in ((first, 0), (second, 1), (second, 1)):
         sink(batch, number)
-    assert {r.k: r.v for r in sink.snapshot(spark).collect()} == {2: 20, 3: 30}
+    after = {7: 11, 1: 21, 3: 30, 9: 90, 50: 5}
+    assert state() == after
+    with pytest.raises(SinkError):
+        sink(frame(("a", 3, 60, "insert", None, 4, 4, None)), 2)
+    for _ in range(2):
+        sink.compact(spark)
+        assert state() == after and [(r.gno, r.code) for r in sink.skips(spark).collect()] == [(2, "mysql.1062")]
+    sink(second, 1)  # a base holds it
+    sink(frame(*again, ("a", 4, 70, "delete", 3, None, None, None)), 2)
+    sink.compact(spark)
+    sink(frame(("a", 2, 80, "insert", None, 8, 8, None), ("a", 5, 81, "insert", None, 8, 9, None)), 3)
+    assert state() == {7: 11, 1: 21, 9: 90, 50: 5, 8: 9}
