@@ -360,7 +360,7 @@ _INVERSE = {"=": "<>", "<>": "=", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
 
 
 def push_not(node: Node, negated: bool = False) -> Node:
-    """The tree with NOT moved into comparisons, AND and OR, as canonical text has it."""
+    """The tree with NOT moved into comparisons, AND and OR, and onto IS, BETWEEN and IN, as canonical text has it."""
     if node.kind == "unary" and node.value == "NOT":
         return push_not(node.args[0], not negated)
     if node.kind == "binary" and node.value in ("AND", "OR"):
@@ -381,6 +381,12 @@ def render(node: Node) -> str:
         return "null" if v is None else str(v).lower() if isinstance(v, bool) else v[1] if isinstance(v, tuple) else f"0x{v.hex()}" if isinstance(v, bytes) else repr(v)
     if node.kind == "name":
         return "`" + node.value.replace("`", "``") + "`"
+    if node.kind == "unary" and node.value == "NOT" and node.args[0].kind in ("between", "in", "is"):
+        inner = node.args[0]
+        b = [render(x) for x in inner.args]
+        if inner.kind == "is":
+            return f"({b[0]} is not {inner.value.lower()})"
+        return f"({b[0]} not between {b[1]} and {b[2]})" if inner.kind == "between" else f"({b[0]} not in ({','.join(b[1:])}))"
     if node.kind == "unary":
         return f"({node.value.lower()} {a[0]})" if node.value == "NOT" else f"{node.value}{a[0]}"
     if node.kind == "binary":
@@ -443,8 +449,10 @@ def _column(node: Node) -> Column:
     if node.kind == "unary":
         return {"NOT": lambda: ~_bool(a[0], node.args[0]), "-": lambda: -a[0], "+": lambda: a[0], "~": lambda: _unsigned(F.bitwise_not(a[0].cast("long")))}[node.value]()
     if node.kind == "between":
+        a = _collated(node.args, a)
         return a[0].between(a[1], a[2])
     if node.kind == "in":
+        a = _collated(node.args, a)
         out = a[0] == a[1]
         for x in a[2:]:
             out = out | (a[0] == x)
@@ -455,21 +463,125 @@ def _column(node: Node) -> Column:
         truth = F.coalesce(_bool(a[0], node.args[0]), F.lit(None).cast("boolean"))
         return F.coalesce(truth if node.value == "TRUE" else ~truth, F.lit(False))
     if node.kind == "like":
-        return F.like(a[0].cast("string"), a[1], a[2])
+        folded = "_CI" in (_collation(node.args[:2]) or "")
+        return F.like(F.lower(a[0].cast("string")), F.lower(a[1]), a[2]) if folded else F.like(a[0].cast("string"), a[1], a[2])
     if node.kind == "collate":
-        return F.lower(a[0]) if node.value.lower().endswith("_ci") else a[0]
+        _rule(node.value)
+        return a[0]  # comparisons ask for it
     if node.kind == "tuple":
         return F.struct(*a)
     return _binary(node, a)
 
 
+def _rule(name: str) -> str | None:
+    """A collation's name -> Spark's: by letters (ci) or exactly, with or without accents; null compares bytes. Only the newest ones count spaces at the end."""
+    name = name.lower()
+    if name == "binary" or name.endswith("_bin"):
+        return None
+    if not re.fullmatch(r"[a-z0-9]+(_[a-z0-9]+)*_(ci|cs)", name):
+        raise ExpressionError(f"collation {name}")
+    accents = "_as_" in name or name.endswith("_cs")
+    return ("UNICODE" if name.endswith("_cs") else "UNICODE_CI") + ("" if accents else "_AI") + ("" if "_0900_" in name else "_RTRIM")
+
+
+def _explicit(node: Node) -> str | None:
+    """The collation that an expression names, for itself or for a part of its text."""
+    if node.kind == "collate":
+        return node.value
+    if node.kind == "call" or (node.kind == "binary" and node.value == "CONCAT"):
+        return next((c for c in map(_explicit, (x for x in node.args if isinstance(x, Node))) if c), None)
+    return None
+
+
+def _collation(nodes: Any) -> str | None:
+    name = next((c for c in map(_explicit, nodes) if c), None)
+    return _rule(name) if name else None
+
+
+def _collated(nodes: Any, columns: list[Column]) -> list[Column]:
+    """The sides of a comparison under the collation that one of them names."""
+    rule = _collation(nodes)
+    return [F.collate(c.cast("string"), rule) for c in columns] if rule else columns
+
+
+#: Characters that a character set lacks, as a pattern; a conversion puts ? in their place.
+_LACKS = {"ascii": r"[^\x00-\x7f]", "latin1": r"[^\x00-\xff\u20ac\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\u017d\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\u017e\u0178]", "utf8": r"[^\x{0}-\x{ffff}]", "utf8mb3": r"[^\x{0}-\x{ffff}]", "utf8mb4": None, "utf16": None, "utf32": None, "ucs2": r"[^\x{0}-\x{ffff}]"}
+
+
+def _convert(c: Column, charset: str) -> Column:
+    charset = str(charset).lower()
+    if charset == "binary":
+        return c.cast("string").cast("binary")
+    if charset not in _LACKS:
+        raise ExpressionError(f"character set {charset}")
+    pattern = _LACKS[charset]
+    return F.regexp_replace(c.cast("string"), pattern, "?") if pattern else c.cast("string")
+
+
+def _json_path(node: Node) -> str:
+    if node.kind != "literal" or not isinstance(node.value, str) or not node.value.startswith("$") or re.search(r"\*|\[last", node.value):
+        raise ExpressionError("a JSON path of keys and places")
+    return re.sub(r'\."((?:[^"\\]|\\.)*)"', lambda m: '["' + m[1] + '"]', node.value)
+
+
+def _json_extract(document: Column, paths: Any) -> Column:
+    """The JSON text of the value at a path; of several paths the found values as an array. Null where nothing is found or the text is no JSON."""
+    parsed = F.call_function("try_parse_json", document.cast("string"))
+    found = [F.to_json(F.call_function("try_variant_get", parsed, F.lit(_json_path(p)), F.lit("variant"))) for p in paths]
+    if len(found) == 1:
+        return found[0]
+    return F.when(F.coalesce(*found).isNotNull(), F.concat(F.lit("["), F.concat_ws(",", *found), F.lit("]")))
+
+
+def _json_unquote(text: Column) -> Column:
+    """The text of a JSON string; any other text as it is."""
+    return F.when(text.rlike('(?s)^".*"$'), F.get_json_object(F.concat(F.lit("["), text, F.lit("]")), "$[0]")).otherwise(text)
+
+
+def _is_json(node: Node) -> bool:
+    return (node.kind == "call" and node.value in ("JSON_EXTRACT", "JSON_ARRAY", "JSON_OBJECT")) or (node.kind == "binary" and node.value == "->") or (node.kind == "cast" and node.value == "JSON")
+
+
+def _json_element(node: Node) -> Column:
+    """A value inside a JSON document: JSON goes in as it is, text is quoted, null is null."""
+    value = _column(node)
+    if node.kind == "literal" and node.value is None:
+        return F.lit("null")
+    if not _is_json(node):
+        whole = F.to_json(F.struct(value.alias("v")))
+        value = F.when(F.length(whole) > 2, F.substr(whole, F.lit(6), F.length(whole) - 6))
+    return F.coalesce(value, F.lit("null"))
+
+
+def _between(mark: str, parts: list[Column]) -> list[Column]:
+    out: list[Column] = []
+    for i, part in enumerate(parts):
+        out += [part] if i == 0 else [F.lit(mark), part]
+    return out
+
+
+def _json_object(args: Any) -> Column:
+    """Keys in the order of documents, short ones first; of a literal key given twice the last value counts."""
+    if len(args) % 2:
+        raise ExpressionError("arguments of JSON_OBJECT")
+    pairs = list(zip(args[::2], args[1::2], strict=True))
+    if all(k.kind == "literal" and isinstance(k.value, str) for k, _ in pairs):
+        pairs = sorted({k.value: (k, v) for k, v in pairs}.values(), key=lambda p: (len(p[0].value.encode()), p[0].value.encode()))
+    parts = [F.concat(_json_element(k), F.lit(":"), _json_element(v)) for k, v in pairs]
+    return F.concat(F.lit("{"), *_between(",", parts), F.lit("}"))
+
+
 def _case(node: Node) -> Column:
     *pairs, other = node.args
     subject = _column(node.value) if node.value is not None else None
+    named = _collation([node.value, *pairs[::2]]) if node.value is not None else None
     out = None
     for condition, result in zip(pairs[::2], pairs[1::2], strict=True):
         test = _column(condition)
-        test = subject == test if subject is not None else _bool(test, condition)
+        if subject is not None:
+            test = F.collate(subject.cast("string"), named) == F.collate(test.cast("string"), named) if named else subject == test
+        else:
+            test = _bool(test, condition)
         out = F.when(test, _column(result)) if out is None else out.when(test, _column(result))
     return out.otherwise(_column(other))
 
@@ -489,7 +601,8 @@ def _binary(node: Node, a: list[Column]) -> Column:
     if word == "/":
         return F.when(y != 0, x / y)
     if word == "DIV":
-        return F.when(y != 0, (x / y).cast("decimal(38,10)").cast("long"))
+        x, y = x.try_cast("decimal(38,10)"), y.try_cast("decimal(38,10)")  # whole numbers of 28 digits stay exact
+        return F.when(y != 0, F.call_function("div", x, y))
     if word == "%":
         return F.when(y != 0, x % y)
     if word == "REGEXP":
@@ -497,7 +610,10 @@ def _binary(node: Node, a: list[Column]) -> Column:
     if word == "CONCAT":
         return F.concat(x.cast("string"), y.cast("string"))
     if word in ("->", "->>"):
-        return F.get_json_object(x, node.args[1].value)
+        found = _json_extract(x, [node.args[1]])
+        return found if word == "->" else _json_unquote(found)
+    if word in ("=", "<=>", "<>", "<", ">", "<=", ">="):
+        x, y = _collated(node.args, [x, y])
     return {"=": lambda: x == y, "<=>": lambda: x.eqNullSafe(y), "<>": lambda: x != y, "<": lambda: x < y, ">": lambda: x > y, "<=": lambda: x <= y, ">=": lambda: x >= y, "+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y}[word]()
 
 
@@ -599,10 +715,16 @@ def _call(node: Node) -> Column:
         if part.kind != "literal":
             raise ExpressionError("TRIM of a computed string")
         return _trim(side.value, _column(part), _column(text).cast("string"), part.value)
+    if name == "CONVERT_USING":
+        return _convert(_column(node.args[0]), node.args[1].value)
+    if name == "JSON_EXTRACT":
+        return _json_extract(_column(node.args[0]), node.args[1:])
+    if name == "JSON_ARRAY":
+        return F.concat(F.lit("["), *_between(",", [_json_element(x) for x in node.args]), F.lit("]"))
+    if name == "JSON_OBJECT":
+        return _json_object(node.args)
     a = [_column(x) for x in node.args]
     text = [x.cast("string") for x in a]
-    if name == "CONVERT_USING":
-        return text[0]
     try:
         return _FUNCTIONS[name](a, text)
     except KeyError:
@@ -627,8 +749,7 @@ _FUNCTIONS: dict[str, Any] = {
     "TO_DAYS": lambda a, t: to_days(a[0]), "FROM_DAYS": lambda a, t: F.date_add(F.lit("0001-01-01").cast("date"), (a[0] - 366).cast("int")),
     "TO_SECONDS": lambda a, t: to_days(a[0]).cast("long") * 86400 + F.hour(a[0]) * 3600 + F.minute(a[0]) * 60 + F.second(a[0]), "TIME_TO_SEC": lambda a, t: F.hour(a[0]) * 3600 + F.minute(a[0]) * 60 + F.second(a[0]),
     "UNIX_TIMESTAMP": lambda a, t: F.unix_seconds(a[0].cast("timestamp")), "DATE": lambda a, t: a[0].cast("date"), "DATEDIFF": lambda a, t: F.datediff(a[0], a[1]), "LAST_DAY": lambda a, t: F.last_day(a[0]),
-    "YEARWEEK": lambda a, t: _yearweek(a[0]), "JSON_EXTRACT": lambda a, t: F.call_function("get_json_object", t[0], t[1]), "JSON_UNQUOTE": lambda a, t: F.regexp_replace(t[0], '^"(.*)"$', "$1"),
-    "JSON_OBJECT": lambda a, t: F.to_json(F.map_from_arrays(F.array(*t[::2]), F.array(*t[1::2]))), "JSON_ARRAY": lambda a, t: F.to_json(F.array(*a)), "BIT_COUNT": lambda a, t: F.bit_count(a[0].cast("long")),
+    "YEARWEEK": lambda a, t: _yearweek(a[0]), "JSON_UNQUOTE": lambda a, t: _json_unquote(t[0]), "BIT_COUNT": lambda a, t: F.bit_count(a[0].cast("long")),
     "CURRENT_TIMESTAMP": lambda a, t: F.localtimestamp(), "CURRENT_DATE": lambda a, t: F.current_date(),
 }
 
