@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("expressions", "joins", "snapshots", "state", "streams")
+MODULES = ("expressions", "joins", "logs", "snapshots", "state", "streams")
 
 
 def load() -> None:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import ddl
 from .operators import filters, fold, gtid, transactions
 from .sources import binlog
@@ -23,7 +24,7 @@ SPARK_TYPES = {"tinyint": "int", "smallint": "int", "mediumint": "int", "int": "
 
 
 def read(spark: SparkSession, path: str, tables: Sequence[str] = ()) -> DataFrame:
-    """Events of a file or folder; with tables (db.table), the rows of others are not decoded."""
+    """Events of a file or folder; with tables (patterns db.table), the rows of others are not decoded."""
     binlog.register(spark)
     reader = spark.read.format("binlog")
     return (reader.option("tables", ",".join(tables)) if tables else reader).load(path)
@@ -42,9 +43,11 @@ def changes(events: DataFrame, include: Sequence[str] = (), ignore: Sequence[str
     """Row changes of committed transactions in source order.
 
     Columns: file_no, offset, row_ordinal (the order), gtid, db, tbl, op, before, after, fk_checks. Groups that executed
-    covers are left out; stop_at (a set) or after_transactions ends the replay after a whole group.
+    covers are left out; stop_at (a set) or after_transactions ends the replay after a whole group; an archive that ends
+    before it is a ReplayError.
     """
     spark = events.sparkSession
+    events = scratch.written(events, "events")  # files are decoded once
     found = groups(events).where("error IS NULL AND outcome IN ('committed', 'statement')")
     found = found.withColumn("file_no", F.regexp_extract("file", FILE_NUMBER, 1).cast("long")).withColumn("at", F.struct("file_no", "first"))
     found = found.withColumn("sid", F.regexp_extract("gtid", r"^([^:]+)", 1)).withColumn("tag", F.regexp_extract("gtid", r":([a-z_]\w*):", 1)).withColumn("gno", F.regexp_extract("gtid", FILE_NUMBER, 1).cast("long"))
@@ -60,6 +63,10 @@ def changes(events: DataFrame, include: Sequence[str] = (), ignore: Sequence[str
         counted = running.running(found, ["file_no"], "first", inclusive=False, within=("sum", F.lit(1)))
         found = counted.join(base, "file_no").withColumn("place", F.col("base") + F.col("within")).drop("base", "within")
         target = gtid.frame(spark, stop_at) if stop_at else None
+        if target is not None and not gtid.uncovered(target, _seen(spark, found, executed), ["sid", "tag"]).isEmpty():
+            raise ReplayError("the archive ends before its groups cover the stop set")
+        if target is None and found.count() < after_transactions:
+            raise ReplayError(f"the archive ends before {after_transactions} transactions")
         if target is not None:
             found = gtid.prefix_until_covered(found, "place", ["sid", "tag"], "gno", target, after_transactions)
         else:
@@ -72,6 +79,17 @@ def changes(events: DataFrame, include: Sequence[str] = (), ignore: Sequence[str
     return exploded.select("file_no", "offset", "row_ordinal", "gtid", "db", "tbl", "fk_checks", "r.op", "r.before", "r.after")
 
 
+class ReplayError(ValueError):
+    """A replay whose stop condition its archive does not reach."""
+
+
+def _seen(spark: SparkSession, found: DataFrame, executed: str) -> DataFrame:
+    """The canonical set of the groups that were found and of those executed before."""
+    keys = ["sid", "tag"]
+    seen = gtid.islands(found, keys, "gno")
+    return gtid.union(seen.unionByName(gtid.frame(spark, executed)), keys) if executed else seen
+
+
 def _value(image: str, i: int, column: ddl.Column):
     cell = F.get(F.col(image), F.lit(i))
     base = column.type.split("(")[0]
