@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAXVALUE = object()
@@ -98,14 +98,15 @@ class Partitioning:
         return replace(self, parts=(*self.parts, *parts))
 
     def add_hash(self, number: int) -> Partitioning:
-        if self.method not in ("hash", "key") or number < 1:
+        if self.method.split()[-1] not in ("hash", "key") or number < 1:
             raise PartitionError("not hashed")
-        return replace(self, count=self.count + number)
+        more = tuple((f"p{i}", None) for i in range(self.count, self.count + number)) if self.parts else ()
+        return replace(self, parts=self.parts + more, count=self.count + number)
 
     def coalesce(self, number: int) -> Partitioning:
-        if self.method not in ("hash", "key") or not 0 < number < self.count:
+        if self.method.split()[-1] not in ("hash", "key") or not 0 < number < self.count:
             raise PartitionError("cannot coalesce")
-        return replace(self, count=self.count - number)
+        return replace(self, parts=self.parts[: self.count - number], count=self.count - number)
 
     def drop(self, *names: str) -> Partitioning:
         if self.method not in ("range", "list") or not set(names) <= set(self.names()) or len(names) >= len(self.parts):
@@ -115,7 +116,9 @@ class Partitioning:
     def reorganize(self, old: Sequence[str], new: Sequence[tuple[str, object]]) -> Partitioning:
         """Adjoining partitions are replaced; range partitions keep their outer bound."""
         names = self.names()
-        at = [names.index(n) for n in old]
+        at = sorted(names.index(n) for n in old)
+        if set(n for n, _ in new) & (set(names) - set(old)):
+            raise PartitionError("duplicate partition")
         if at != list(range(at[0], at[0] + len(at))):
             raise PartitionError("partitions must adjoin")
         if self.method == "range" and at[-1] + 1 < len(names) and new[-1][1] != self.parts[at[-1]][1]:
@@ -123,11 +126,32 @@ class Partitioning:
         return replace(self, parts=(*self.parts[: at[0]], *new, *self.parts[at[-1] + 1 :]))
 
     def depends_on(self, column: str) -> bool:
-        return column in self.columns
+        return column.lower() in map(str.lower, self.columns)
 
     def route(self, *values: Column) -> Column:
         if self.method == "range":
             return by_range(values[0], self.parts) if len(values) == 1 else by_range_columns(values, self.parts)
         if self.method == "list":
             return by_list(values, self.parts)
-        return F.concat(F.lit("p"), by_hash(values[0], self.count).cast("string"))
+        if self.method.endswith("key"):
+            raise PartitionError("keys are hashed by the server")
+        number = by_linear_hash(values[0], self.count) if self.method.startswith("linear") else by_hash(values[0], self.count)
+        return F.get(F.array(*[F.lit(n) for n in self.names()]), number)
+
+
+def exchanged(rows: DataFrame, partition: str, others: DataFrame, name: str, route: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """EXCHANGE PARTITION: rows with a column ``partition`` against a table without one -> (rows after, table after, misplaced rows).
+
+    The partition ``name`` and the table change places. With route (the partition that a row's values ask for) rows of the table
+    that belong elsewhere are misplaced; an exchange without validation keeps them where they are put.
+    """
+    inside = rows.where(F.col(partition).eqNullSafe(F.lit(name))).drop(partition)
+    put = others.withColumn(partition, F.lit(name))
+    after = rows.where(~F.col(partition).eqNullSafe(F.lit(name))).unionByName(put)
+    wrong = put.where(~F.coalesce(route == F.lit(name), F.lit(False))) if route is not None else put.limit(0)
+    return after, inside, wrong
+
+
+def truncated(rows: DataFrame, partition: str, names: Sequence[str]) -> DataFrame:
+    """TRUNCATE PARTITION: the rows of the named partitions go, the partitions stay."""
+    return rows.where(~F.coalesce(F.col(partition).isin(*names), F.lit(False)))
