@@ -196,10 +196,10 @@ def tokenised_pieces(documents: DataFrame, tokenizer_path: str, end_id: int, lim
         coder = words.word_encoder(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen: dict[int, int] = defaultdict(int)
-        for batch in common.batches(stream):
+        for batch in common.batches(stream, 4 << 20):
             rows, piece, start, length, crc, rank = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                data = coder.encode_bytes(text or "") + end
+            for i, encoded in enumerate(coder.encode_many([t or "" for t in batch.column(1).to_pylist()])):
+                data = encoded + end
                 for p in range(-(-len(data) // (4 * limit))):
                     cut = data[4 * limit * p : 4 * limit * (p + 1)]
                     size = len(cut) // 4
@@ -213,6 +213,7 @@ def tokenised_pieces(documents: DataFrame, tokenizer_path: str, end_id: int, lim
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([part] * len(rows), pa.int32()), pa.array(rank, pa.int64())], names=names
             )
+        coder.release()
 
     return common.crossed_out(documents, "doc_id", "text").mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, part int, rank_in_part long")
 

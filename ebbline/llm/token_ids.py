@@ -177,6 +177,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int, fo
                 ids.append(data)
                 size += len(data) // 4
         flush()
+        coder.release()
         if made:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), (pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["part", "file", "n_docs", "n_ids"])
 

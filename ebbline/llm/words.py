@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from . import common
 from .bpe import Remembered
 
 _PLAIN = regex.compile(r"[\x21-\x7eÀ-ÿ]+").fullmatch
@@ -233,12 +234,18 @@ class WordEncoder:
         cuts = [0, *(4 * stops).tolist()]
         return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
+    def release(self) -> None:
+        """Forgets all pieces and words, and hands freed memory back: a worker outlives its task, and others share its executor."""
+        for name in ("_known", "_words", "_pieces"):
+            self.__dict__.pop(name, None)
+        common.trim_memory()
+
 
 _MADE: dict[str, WordEncoder] = {}
 
 
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each process: its tables outlast the task."""
+    """One encoder for each process: the file is read once; what a task remembers goes with ``release``."""
     if path not in _MADE:
         _MADE[path] = WordEncoder(path)
     return _MADE[path]
