@@ -135,7 +135,7 @@ def shared_windows(documents: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """
     runs = common.written(document_windows(documents, least), "line-runs")
     first = runs.groupBy("hash").agg(F.min("doc_id").alias("partner"), F.min_by("line", "doc_id").alias("partner_line"), F.max("doc_id").alias("last"), F.count("*").alias("holders"))
-    first = first.where("last > partner").drop("last")
+    first = common.written(first.where("last > partner").drop("last"), "line-holders")  # a plain side, so that a hot run's rows can be split
     return runs.join(first, "hash").where("doc_id > partner").select("doc_id", "line", "hash", "partner", "partner_line", "holders")
 
 
