@@ -50,6 +50,8 @@ NEAR_SHINGLE, SIMILARITY, NEAR_BITS, MINS, LEVELS = 5, 0.8, 20, 4, 4
 #: Disjoint spanning forests of close pairs that are compared exactly: up to so many pairs a text and bucket.
 FORESTS = 3
 FANOUT = 8
+#: Links that one task labels in the last round of components.
+IN_ONE_TASK = 100_000
 _FULL = (1 << 64) - 1
 
 
@@ -366,30 +368,60 @@ def near_links(prints: DataFrame, most: int = MAX_BITS, largest: int = BUCKET, r
     return dealt.select("mask", "value", "print").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def _labelled(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b), few enough for one task -> (node, root)."""
+    batches = [b for b in stream if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    kind = table.schema.field(0).type
+    ends = pa.concat_arrays([*table.column(0).chunks, *table.column(1).chunks])
+    names, place = np.unique(ends.to_numpy(zero_copy_only=False), return_inverse=True)
+    label = np.arange(len(names))
+    a, b = place[: table.num_rows], place[table.num_rows :]
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            break
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while not (label[label] == label).all():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(names.tolist(), kind), pa.array(names[label].tolist(), kind)], names=["node", "root"])
+
+
+def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """links (a, b) -> node, root: every node that has links, and the smallest node of its component.
 
     Each round sends every node to its smallest neighbour, doubles these pointers until
-    they end, and contracts the links, so chains in any order take few rounds. Each
-    table is written, so lost executors cost no earlier round.
+    they end, and contracts the links, so chains in any order take few rounds. Once
+    at most ``in_one_task`` links are left, one task labels them. Each table is written, so
+    lost executors cost no earlier round.
     """
     edges = common.written(links.where("a <> b").distinct(), "links")
+    kind = links.schema["a"].dataType.simpleString()
     roots = None
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        best = common.written(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("root")), "best")
-        while True:
-            onward = best.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
-            doubled = best.join(onward, "root", "left")
-            doubled = common.written(doubled.select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "best")
-            best = doubled.drop("moved")
-            if doubled.where("moved").isEmpty():
-                break
+    while left := edges.count():
+        if left <= in_one_task:
+            best = common.written(edges.coalesce(1).mapInArrow(_labelled, f"node {kind}, root {kind}"), "best")
+        else:
+            both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
+            best = common.written(both.groupBy("node").agg(F.least(F.min("to"), F.col("node")).alias("root")), "best")
+            while True:
+                onward = best.where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("next"))
+                doubled = best.join(onward, "root", "left")
+                doubled = common.written(doubled.select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "best")
+                best = doubled.drop("moved")
+                if doubled.where("moved").isEmpty():
+                    break
         if roots is None:
             roots = best
         else:
             step = roots.join(best.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
             roots = common.written(step, "roots")
+        if left <= in_one_task:
+            break
         moved = edges.join(best.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(best.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = common.written(moved.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
     if roots is None:
@@ -398,7 +430,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def sketches(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """texts(node, text) -> node, print, mins (the min-hashes), in one pass without a shuffle."""
+    """texts(node, text) -> node, print, mins (the min-hashes), in one pass without a shuffle. node: text or bytes."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(stream, 4 << 20):
@@ -408,7 +440,11 @@ def sketches(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
             offsets = np.arange(len(hashes) + 1, dtype=np.int32) * mins.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(mins.ravel()))], names=["node", "print", "mins"])
 
-    return texts.select("node", "text").mapInArrow(run, "node string, print long, mins array<long>")
+    return texts.select("node", "text").mapInArrow(run, f"node {_kind(texts)}, print long, mins array<long>")
+
+
+def _kind(texts: DataFrame) -> str:
+    return texts.schema["node"].dataType.simpleString()
 
 
 def min_bucketed(made: DataFrame, largest: int = BUCKET) -> DataFrame:
@@ -430,7 +466,7 @@ def min_bucketed(made: DataFrame, largest: int = BUCKET) -> DataFrame:
 
 
 def near_duplicates(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = NEAR_BITS, largest: int = BUCKET, rows_at_once: int = 100_000) -> DataFrame:
-    """Different texts(node string, text) -> links (a, b) of exact similarity at least ``similarity``.
+    """Different texts(node, text) -> links (a, b) of exact similarity at least ``similarity``. node: text or bytes, unique.
 
     A null text is the empty text; texts without words are alike. Each bucket gives some forests, never all its pairs.
     """
@@ -447,10 +483,13 @@ def near_duplicates(texts: DataFrame, similarity: float = SIMILARITY, shingle: i
 
     parts = common.shuffle_parts(texts.sparkSession)
     dealt = min_bucketed(sketches(texts, shingle), largest).repartition(parts, "key").sortWithinPartitions("key")
-    links = dealt.select("key", "node", "print").mapInArrow(run, "a string, b string")
+    kind = _kind(texts)
+    links = dealt.select("key", "node", "print").mapInArrow(run, f"a {kind}, b {kind}")
     links = common.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
-    linked = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
-    held = common.written(texts.join(linked, "node", "left_semi").select("node", "text"), "near-texts")
+    # the texts of linked nodes, by a hash of the node: a small table where links are few, so that the texts need not be shuffled for it
+    linked = links.select(F.xxhash64("a").alias("h")).unionByName(links.select(F.xxhash64("b").alias("h"))).distinct()
+    linked = common.written(linked, "near-linked")
+    held = common.written(texts.join(linked, F.xxhash64("node") == F.col("h"), "left_semi").select("node", "text"), "near-texts")
     pairs = links.join(held.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
     return pairs.where(alike("one", "other") >= similarity).select("a", "b")
 
@@ -462,7 +501,7 @@ def near_groups(documents: DataFrame, most: int = MAX_BITS, shingle: int = SHING
     roots = components(near_links(kinds.select("print"), most))
     member = kinds.join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "smallest", F.coalesce("root", "print").alias("root"))
     member = common.written(member, "members")
-    named = member.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    named = common.written(member.groupBy("root").agg(F.min("smallest").alias("component_id")), "named")
     named = member.join(named, "root").select("print", "component_id")
     return made.join(named, "print").select("doc_id", "print", "component_id")
 

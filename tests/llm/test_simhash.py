@@ -113,12 +113,12 @@ def test_near_duplicates_against_all_pairs(spark):
             texts[" ".join(changed)] = None
     texts = list(texts)
     pairs = {(f"{i:04d}", f"{j:04d}") for i in range(len(texts)) for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8}
-    table = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "node string, text string")
+    table = spark.createDataFrame([(f"{i:04d}", t) for i, t in enumerate(texts)], "node string, text string").selectExpr("cast(node AS binary) AS node", "text")
     for largest in (1000, 5):
         links = simhash.near_duplicates(table, largest=largest)
-        found = [(x.b, x.a) for x in links.collect()]
+        found = [(bytes(x.b).decode(), bytes(x.a).decode()) for x in links.collect()]
         assert set(found) <= pairs and len(found) == len(set(found))
-        root = {x.node: x.root for x in simhash.components(links).collect()}
+        root = {bytes(x.node).decode(): bytes(x.root).decode() for x in simhash.components(links).collect()}
         apart = [(a, b) for a, b in pairs if root.get(a, a) != root.get(b, b)]
         assert len(pairs) > 200 and len(apart) <= 0.02 * len(pairs), (len(pairs), len(apart))
     assert simhash.near_duplicates(spark.createDataFrame([], "node string, text string")).collect() == []
@@ -126,4 +126,7 @@ def test_near_duplicates_against_all_pairs(spark):
 
 def test_long_chains_take_few_rounds(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 500), (7, 7)], "a long, b long")
-    assert {x.node: x.root for x in simhash.components(chain).collect()} == {**dict.fromkeys(range(201), 0), 400: 400, 500: 400}
+    for most in (100_000, 20, 0):
+        assert {x.node: x.root for x in simhash.components(chain, most).collect()} == {**dict.fromkeys(range(201), 0), 400: 400, 500: 400}
+    named = spark.createDataFrame([("b", "c"), ("c", "a"), ("x", "y")], "a string, b string")
+    assert {x.node: x.root for x in simhash.components(named).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
