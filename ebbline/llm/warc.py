@@ -1,12 +1,15 @@
-"""WARC records, and a Merkle fixity audit of archive replicas.
+"""WARC records, files of them, and a Merkle fixity audit of archive replicas.
 
 Each archive is cut into segments of ``SEGMENT`` record numbers. Inside a segment the
 records stand in order, and a leaf hashes a record's offset, length and digest; a
 node hashes its ``FANOUT`` children, so it stands for an ordered range of offsets.
-Segment roots are hashed on to one root for the archive. The audit compares roots
-and then, level by level, only the children of nodes that differ; records are
-compared where a lowest node differs. All of it is DataFrame work on digests: the
-bodies are read once and never shuffled, and no step gathers more than one node's children.
+Above, a node hashes the up to ``SPREAD`` segments, or nodes, of one range of numbers, on to
+one root for the archive; as many levels as the numbers' range needs, so sparse numbers
+give no node more children. Every level is made once from the one below and written. The
+audit compares roots and then, level by level, reads only the children of nodes that
+differ; records are compared where a lowest node differs, and nothing is read below
+nodes that agree. All of it is DataFrame work on digests: the bodies are read once and
+never shuffled, and no step gathers more than one node's children.
 
 Defined results: null url or body is the empty one; a null record number is put into
 one of ``SEGMENT`` segments of its own by its digest; records of one number are
@@ -15,9 +18,12 @@ told apart by their order; an empty archive has no nodes; other columns are igno
 
 from __future__ import annotations
 
+import gzip
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,8 +32,8 @@ from . import common
 
 SEGMENT = 1024
 FANOUT = 16
-#: Segments under a node above the segment roots, and the number of such levels before the root.
-SPREAD, UPPER = 64, 4
+#: Segments, or nodes of them, under a node above.
+SPREAD = 64
 
 #: Damage planted into the audited replica of the query: one character changed, and records left out.
 ALTERED, MISSING = (97, 5), (50021, 7)
@@ -62,36 +68,49 @@ def _node(rows: DataFrame, keys: list[Column], child: str, hash_: Column) -> Dat
     return listed.select(*[c for c in listed.columns if c != "kids"], F.sha2(F.concat_ws(",", F.transform("kids", lambda k: k["h"])).cast("binary"), 256).alias("hash"))
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels (segment, node, hash) from the lowest nodes to the archive's root.
+def levels_over(leaves: list[DataFrame]) -> tuple[int, int, int]:
+    """(levels within a segment, levels above, smallest segment) that one root over each of the archives needs. The driver sees one row."""
+    both = leaves[0].select("segment", "place")
+    for more in leaves[1:]:
+        both = both.unionByName(more.select("segment", "place"))
+    row = both.agg(F.min("segment"), F.max("segment"), F.max("place")).first()
+    if row[0] is None:
+        return 1, 0, 0
+    inner = upper = 1
+    while (row[2] // FANOUT**inner) > 0:
+        inner += 1
+    upper = 0
+    while ((row[1] - row[0]) // SPREAD**upper) > 0:
+        upper += 1
+    return inner, upper, row[0]
+
+
+def _above(level: int, inner: int, first: int) -> tuple[Column, Column]:
+    """(segment, node) of the parent of a node of this level (-1: a leaf, whose node is its place)."""
+    if level < inner - 1:
+        return F.col("segment"), F.floor(F.col("node") / FANOUT).cast("long")
+    over = F.col("segment") - first if level == inner - 1 else F.col("segment")
+    return F.floor(over / SPREAD).cast("long"), F.lit(0).cast("long")
+
 
-    Levels within a segment number their nodes in it; above, segment is the number of a run of SPREAD, SPREAD**2 ... segments and node is 0.
+def tree(leaves: DataFrame, inner: int, upper: int, first: int) -> list[DataFrame]:
+    """Levels (segment, node, hash) from the lowest nodes to the archive's root, each written.
+
+    Levels within a segment number their nodes in it; above, segment is the number of a range of segments and node is 0.
     """
     leaf = F.sha2(F.concat_ws(":", F.col("offset"), F.col("length"), F.col("digest")).cast("binary"), 256)
-    levels = [_node(leaves, [F.col("segment"), F.floor(F.col("place") / FANOUT).alias("node")], "place", leaf)]
-    size = FANOUT
-    while size < SEGMENT:
-        size *= FANOUT
-        levels.append(_node(levels[-1].withColumnRenamed("node", "child"), [F.col("segment"), F.floor(F.col("child") / FANOUT).alias("node")], "child", F.col("hash")))
-    top = levels[-1].groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("kids"))
-    levels.append(top.select("segment", F.lit(0).cast("long").alias("node"), F.sha2(F.concat_ws(",", F.transform("kids", lambda k: k["hash"])).cast("binary"), 256).alias("hash")))
-    for level in range(UPPER):
-        above = F.floor(F.col("child") / SPREAD) if level < UPPER - 1 else F.lit(0)
-        levels.append(_node(levels[-1].select(F.col("segment").alias("child"), "hash"), [above.cast("long").alias("segment")], "child", F.col("hash")).select("segment", F.lit(0).cast("long").alias("node"), "hash"))
+    rows = leaves.select("segment", F.col("place").cast("long").alias("node"), leaf.alias("hash"))
+    levels: list[DataFrame] = []
+    for level in range(-1, inner + upper - 1):
+        segment, node = _above(level, inner, first)
+        child = "node" if level < inner - 1 else "segment"
+        below = rows.select(F.col(child).alias("child"), "hash", segment.alias("up"), node.alias("over"))
+        made = _node(below, [F.col("up").alias("segment"), F.col("over").alias("node")], "child", F.col("hash"))
+        rows = common.written(made, "nodes")
+        levels.append(rows)
     return levels
 
 
-def _above(level: int, inner: int) -> tuple[Column, Column]:
-    """(segment, node) of the parent of a node of this level; inner: levels within a segment."""
-    if level < inner - 1:
-        return F.col("segment"), F.floor(F.col("node") / FANOUT)
-    if level == inner - 1:
-        return F.col("segment"), F.lit(0).cast("long")
-    if level - inner == UPPER - 1:
-        return F.lit(0).cast("long"), F.lit(0).cast("long")
-    return F.floor(F.col("segment") / SPREAD), F.lit(0).cast("long")
-
-
 def audit(kept: DataFrame, held: DataFrame) -> DataFrame:
     """Leaves of the archive as it should be, and as a replica holds it -> records that differ.
 
@@ -99,14 +118,14 @@ def audit(kept: DataFrame, held: DataFrame) -> DataFrame:
     moved (same bytes elsewhere), missing or extra.
     """
     kept, held = common.written(kept, "leaves"), common.written(held, "leaves")
-    ours, theirs = tree(kept), tree(held)
-    inner = len(ours) - 1 - UPPER
+    inner, upper, start = levels_over([kept, held])
+    ours, theirs = tree(kept, inner, upper, start), tree(held, inner, upper, start)
     bad = None
     for level in range(len(ours) - 1, -1, -1):
         pair = []
         for nodes in (ours[level], theirs[level]):
             if bad is not None:
-                segment, node = _above(level, inner)
+                segment, node = _above(level, inner, start)
                 nodes = nodes.withColumn("up", segment).withColumn("over", node).join(bad, ["up", "over"], "left_semi").drop("up", "over")
             pair.append(nodes)
         differ = pair[0].join(pair[1].withColumnRenamed("hash", "found"), ["segment", "node"], "full").where(~F.col("hash").eqNullSafe(F.col("found")))
@@ -156,42 +175,146 @@ WHERE b.page_id IS NULL OR a.sha <> b.sha OR a.off <> b.off
 # files ----------------------------------------------------------------------
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers with lower-case names, block) of each record of an uncompressed file; ValueError where it is broken."""
-    at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        if head < 0 or not data.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at {at}")
-        lines = data[at:head].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        size = int(headers.get("content-length", -1))
-        end = head + 4 + size + 4
-        if size < 0 or data[end - 4 : end] != b"\r\n\r\n":
-            raise ValueError(f"broken WARC record at {at}")
-        yield at, end - at, headers, data[head + 4 : end - 4]
-        at = end
-
-
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Uncompressed WARC files -> path, offset, length, type, record_id, target_uri, record (its bytes), error.
-
-    A task holds one file at a time; a broken file gives its records up to the break and one row with the error.
+class _Source:
+    """Bytes of a file, plain or a chain of gzip members, read in order; knows where the record now read begins in the file."""
+
+    def __init__(self, data: bytes, most: int) -> None:
+        self.data, self.at, self.most = memoryview(data), 0, most
+        self.zipped = data[:2] == b"\x1f\x8b"
+        self.held, self.begin, self.mark = bytearray(), 0, 0
+        self.inflate = None
+
+    def more(self) -> bool:
+        """Takes some more bytes; False at the end."""
+        if not self.zipped:
+            part = self.data[self.at : self.at + (1 << 20)]
+            self.held += part
+            self.at += len(part)
+            return bool(len(part))
+        while True:
+            if self.inflate is None:
+                if self.at >= len(self.data):
+                    return False
+                self.inflate = zlib.decompressobj(31)
+                if not self.held:
+                    self.mark = self.at
+            part = self.data[self.at : self.at + (1 << 16)]
+            out = self.inflate.decompress(bytes(part), 1 << 22)
+            rest = self.inflate.unused_data or self.inflate.unconsumed_tail
+            self.at += len(part) - len(rest)
+            if self.inflate.eof:
+                self.inflate = None
+            elif not part and not out:
+                raise ValueError("truncated gzip member")
+            if out:
+                self.held += out
+                if len(self.held) > self.most:
+                    raise ValueError(f"record of more than {self.most} bytes")
+                return True
+
+    def until(self, size: int) -> bool:
+        while len(self.held) < size:
+            if not self.more():
+                return False
+        return True
+
+    def next(self, size: int) -> bytes:
+        """The next size bytes; what follows is a new record."""
+        out = bytes(self.held[:size])
+        del self.held[:size]
+        self.begin += size
+        if self.zipped and not self.held:
+            self.mark = self.at
+        return out
+
+
+#: Bytes of one record at most.
+MAX_RECORD = 1 << 30
+
+
+def parse_warc(data: bytes, most: int = MAX_RECORD) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """(offset, length, headers with lower-case names, whole record) of each record of a file, plain or gzipped record by record; ValueError where it is broken.
+
+    The offset in a gzipped file is that of the record's member; the length is that of the plain record.
+    """
+    source = _Source(data, most)
+    try:
+        while source.until(1):
+            at = source.mark if source.zipped else source.begin
+            head = source.held.find(b"\r\n\r\n")
+            while head < 0 and len(source.held) < 1 << 20 and source.more():
+                head = source.held.find(b"\r\n\r\n")
+            if head < 0 or not source.held.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at {at}")
+            lines = source.held[:head].decode("utf-8", "replace").split("\r\n")
+            headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+            size = int(headers["content-length"]) if headers.get("content-length", "").isdigit() else -1
+            end = head + 4 + size + 4
+            if size < 0 or end > most or not source.until(end) or source.held[end - 4 : end] != b"\r\n\r\n":
+                raise ValueError(f"broken WARC record at {at}")
+            yield at, end, headers, source.next(end)
+    except zlib.error as e:
+        raise ValueError(f"broken gzip member at {source.mark}") from e
+
+
+def read_warc(spark: SparkSession, path: str, most: int = MAX_RECORD) -> DataFrame:
+    """WARC files, plain or gzipped -> path, offset, length, type, record_id, target_uri, record (its bytes), error.
+
+    A task holds one file and gives its records some at a time; a broken file gives its records up to the break and one row with the error.
     """
+    names = ["path", "offset", "length", "type", "record_id", "target_uri", "record", "error"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["path", "offset", "length", "type", "record_id", "target_uri", "record", "error"]
-        types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string()]
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
         for batch in stream:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows, size = [], 0
                 try:
-                    for at, size, headers, _ in parse_warc(data):
-                        rows.append((name, at, size, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"), data[at : at + size], None))
+                    for at, length, headers, record in parse_warc(data.as_py(), most):
+                        rows.append((name, at, length, headers.get("warc-type"), headers.get("warc-record-id"), headers.get("warc-target-uri"), record, None))
+                        size += length
+                        if size > 4 << 20:
+                            yield made(rows)
+                            rows, size = [], 0
                 except ValueError as e:
                     rows.append((name, None, None, None, None, None, None, str(e)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield made(rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, offset long, length long, type string, record_id string, target_uri string, record binary, error string")
+
+
+def write_warc(records: DataFrame, folder: str, number: str = "number", record: str = "record", zipped: bool = True, most: int = 256 << 20) -> DataFrame:
+    """records(number, record) -> files of whole records below folder; returns (file, records, bytes) as a written table.
+
+    Records are dealt and ordered by number; a file has at most ``most`` bytes before zipping, or one longer record. Each record is a gzip member of its own.
+    """
+    suffix = ".warc.gz" if zipped else ".warc"
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, size, file_no = TaskContext.get().partitionId(), 0, 0, 0
+        held: list[bytes] = []
+        done: list[tuple] = []
+
+        def flush() -> None:
+            nonlocal held, count, size, file_no
+            if held:
+                name = f"part-{part:06d}-{file_no:06d}{suffix}"
+                common.put_file(f"{folder}/{name}", b"".join(held))
+                done.append((name, count, sum(map(len, held))))
+                held, count, size, file_no = [], 0, 0, file_no + 1
+
+        for batch in common.batches(stream):
+            for raw in batch.column(0).to_pylist():
+                if held and size + len(raw) > most:
+                    flush()
+                held.append(gzip.compress(raw, mtime=0) if zipped else raw)
+                count, size = count + 1, size + len(raw)
+        flush()
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["file", "records", "bytes"])
+
+    laid = records.select(F.col(f"`{number}`").alias("n"), F.col(f"`{record}`").cast("binary").alias("r")).where("r IS NOT NULL").repartitionByRange(common.shuffle_parts(records.sparkSession), "n").sortWithinPartitions("n", "r")
+    return common.written(laid.select("r").mapInArrow(run, "file string, records long, bytes long"), "warc-manifest")
