@@ -17,6 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common
 
@@ -33,20 +34,30 @@ RULES = (
     ("block", "org", "/es/"),
 )
 
-#: Words of hosts and paths from which the small labelled table is made.
-BLOCK_WORDS = ("casino", "casino-win", "free-bets", "bets", "poker", "slots", "spam", "spam-farm", "cheap-pills", "pills", "viagra", "xxx", "adult-cams", "payday-loans", "malware", "warez", "crack-keys", "click-farm", "lottery", "jackpot")
-ALLOW_WORDS = ("news", "blog", "www", "docs", "library", "university", "museum", "weather", "recipes", "garden", "science", "history", "travel", "music", "school", "council", "journal", "theatre", "railway", "atlas", "station", "northern", "another", "attention", "thinking", "nation", "orchestra", "earth", "harvest", "shore")
+#: Words of hosts and paths from which the small labelled table is made; compounds share their parts, as such hosts do.
+BLOCK_PARTS = (
+    ("casino", "poker", "slots", "bets", "betting", "jackpot", "lottery", "roulette"), ("pills", "viagra", "pharma", "steroids", "cialis"), ("adult", "xxx", "cams", "porn", "sexy", "escorts"),
+    ("loans", "payday", "credit-fix", "crypto-gain"), ("spam", "spam-farm", "click-farm", "link-farm", "ads", "ads-track", "tracker", "popunder"), ("warez", "keygen", "crack", "torrent", "malware", "phish"),
+)
+BLOCK_FIRST = ("", "cheap-", "free-", "best-", "win-", "hot-", "buy-")
+ALLOW_WORDS = (
+    "news", "blog", "docs", "library", "university", "museum", "weather", "recipes", "garden", "science", "history", "travel", "music", "school", "council", "journal", "theatre", "railway", "atlas", "station", "northern", "another", "attention", "thinking", "nation",
+    "orchestra", "earth", "harvest", "shore", "mathematics", "therapy", "the-times", "method", "author", "gather", "mother", "father", "weather-map", "leather", "feather", "either", "brother", "theory", "theatre-guide", "thesis", "thread", "thirteen", "thunder", "throne", "three",
+    "tension", "mention", "edition", "action", "fiction", "section", "question", "reason", "season", "ration", "portion", "caution", "option", "motion", "notion", "lesson", "person", "open-data", "town-hall", "city-guide", "food-bank", "book-club", "health", "hospital", "energy", "forest", "river",
+)
 
 
 def labelled_urls() -> list[tuple[str, int]]:
-    """The small labelled table: (url, 1 to block or 0 to allow), made from the two word lists by rule."""
+    """The small labelled table: (url, 1 to block or 0 to allow), made from the words by rule: each word in some hosts, and in a path of another host."""
     rows = []
-    for label, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)):
+    block = [f"{first}{part}" for family in BLOCK_PARTS for k, part in enumerate(family) for first in ("", BLOCK_FIRST[1 + k % 6])]
+    for label, words in ((1, block), (0, ALLOW_WORDS * 2)):
         for i, word in enumerate(words):
             other = ALLOW_WORDS[(i * 7 + 3) % len(ALLOW_WORDS)]
-            for host in (f"{word}.example.{('com', 'net', 'org')[i % 3]}", f"m.{word}.example.{('net', 'org', 'com')[i % 3]}", f"www.{word}.test"):
-                rows.append((f"https://{host}/{('en', 'de', 'fr', 'es')[i % 4]}/{i * 13 % 97}", label))
-            rows.append((f"http://{other}.example.org/{word}/{i}.html", label))
+            for k, front in enumerate(("", "m.", "blog.", "www.")):
+                end = ("", "/", ".html", "?page=2&ref=x", "#top")[(i + k) % 5]
+                rows.append((f"http{'s' * ((i + k) % 2)}://{front}{word}.{('example.com', 'example.net', 'example.org', 'test')[(i // 2 + k) % 4]}/{('en', 'de', 'fr', 'es')[(i // 3 + k) % 4]}/{(i * 4 + k) * 7919 % 20011}{end}", label))
+            rows.append((f"http://{other}.example.org/{word}/{i * 31 % 997}.html", label))
     return rows
 
 
@@ -120,7 +131,7 @@ def scores(weights: np.ndarray, bias: float, hosts: list[str], paths: list[str])
     return 1 / (1 + np.exp(-(total / np.sqrt(count) + bias)))
 
 
-def fit(labelled: list[tuple[str, int]], bits: int = BITS, rounds: int = 200, rate: float = 0.5, ridge: float = 1e-4, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
+def fit(labelled: list[tuple[str, int]], bits: int = BITS, rounds: int = 200, rate: float = 0.1, ridge: float = 1e-2, max_labelled: int = MAX_LABELLED) -> tuple[np.ndarray, float]:
     """Full-batch logistic regression on at most max_labelled labelled URLs, in a fixed order: the same table gives the same weights."""
     labelled = sorted(labelled, key=lambda x: (str(x[0]), x[1]))[:max_labelled]
     parts = [split_url(u) for u, _ in labelled]
@@ -137,8 +148,19 @@ def fit(labelled: list[tuple[str, int]], bits: int = BITS, rounds: int = 200, ra
     return weights, bias
 
 
-def judge(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, rules: Iterable[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
-    """pages(page_id, url) -> page_id, host, path, rule, verdict, score; every row once."""
+def labelled_rows(labelled: DataFrame, most: int = MAX_LABELLED) -> list[tuple[str, int]]:
+    """At most ``most`` distinct rows of a table (url, label), those whose hashes are smallest; rows with another label or none are left out."""
+    rows = labelled.select(F.col("`url`").cast("string").alias("url"), F.col("`label`").cast("int").alias("label")).where("url IS NOT NULL AND label IN (0, 1)").distinct()
+    return [tuple(r) for r in rows.orderBy(F.xxhash64("url", "label"), "url", "label").limit(most).collect()]
+
+
+def judge(pages: DataFrame, labelled: DataFrame | list[tuple[str, int]] | None = None, rules: Iterable[tuple[str, str, str]] = RULES, threshold: float = 0.5) -> DataFrame:
+    """pages(page_id, url) -> page_id, host, path, rule, verdict, score; every row once.
+
+    labelled: a small table (url, label: 1 to block, 0 to allow) from which the model is fitted; without one, that of ``labelled_urls``.
+    """
+    if isinstance(labelled, DataFrame):
+        labelled = labelled_rows(labelled)
     weights, bias = fit(labelled_urls() if labelled is None else labelled)
     index = rule_index(rules)
     id_type = pages.schema["page_id"].dataType.simpleString()
