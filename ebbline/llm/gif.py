@@ -1,10 +1,13 @@
 """GIF media columns: a full GIF87a/89a decoder (LZW streams, palettes, interlace, disposal,
 transparency, frame times) and an encoder for 8-bit samples.
 
-``decode`` returns composed frames with their times and colour histograms;
-``encode_samples``/``read_samples`` store any bytes losslessly as palette
-indices. One image is handled by one task and needs memory for one frame
-canvas; there is no shuffle.
+``compose`` gives frames under the disposal and transparency rules, with their times;
+``decode_frames`` stores them as rows with their colour histograms.
+``encode_samples`` stores any bytes losslessly as indices of a palette of 256 colours, and
+``read_samples`` takes them back from the colours of the composed frames. One image
+is handled by one task, frame by frame, and needs memory for its file and two
+canvases; a canvas or frame of more than ``MAX_PIXELS`` pixels is an error, as is a file
+that claims more indices than its code stream can hold. There is no shuffle.
 
 Defined results: a null text is the empty text (64 zero bytes are stored);
 equal texts give equal media; other columns are ignored.
@@ -27,7 +30,10 @@ from . import common
 WIDTH = 64
 ROWS_PER_FRAME = 1024
 DELAY_CS = 4
-GREY = bytes(c for i in range(256) for c in (i, i, i))
+#: Pixels of a canvas or frame at most.
+MAX_PIXELS = 1 << 24
+#: 256 colours: three bits of red, three of green, two of blue.
+COLOURS = bytes(c for i in range(256) for c in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 
 
 class GifError(ValueError):
@@ -196,6 +202,34 @@ class Frame:
     transparent: int | None
 
 
+@dataclass
+class StoredFrame:
+    """A frame as it lies in a file: its code stream is expanded when the indices are asked for, and not kept."""
+
+    left: int
+    top: int
+    width: int
+    height: int
+    code: bytes
+    minimum: int
+    interlaced: bool
+    palette: bytes
+    delay_cs: int
+    disposal: int
+    transparent: int | None
+
+    @property
+    def indices(self) -> bytes:
+        w, h = self.width, self.height
+        indices = lzw_unpack(self.code, self.minimum, w * h)
+        if not self.interlaced:
+            return indices
+        rows = np.frombuffer(indices.ljust(w * h, b"\0"), dtype=np.uint8).reshape(h, w)
+        straight = np.empty_like(rows)
+        straight[[*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]] = rows
+        return straight.tobytes()
+
+
 @dataclass
 class Gif:
     width: int
@@ -203,10 +237,10 @@ class Gif:
     background: int
     palette: bytes
     loops: int | None
-    frames: list[Frame]
+    frames: list[StoredFrame]
 
 
-def encode(width: int, height: int, frames: list[Frame], palette: bytes = GREY, background: int = 0, loops: int | None = None) -> bytes:
+def encode(width: int, height: int, frames: list[Frame], palette: bytes = COLOURS, background: int = 0, loops: int | None = None) -> bytes:
     """A GIF89a file with one global palette of 256 colours; a frame whose palette differs has a local one."""
     out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, background, 0), palette.ljust(768, b"\0")]
     if loops is not None:
@@ -220,16 +254,18 @@ def encode(width: int, height: int, frames: list[Frame], palette: bytes = GREY,
     return b"".join([*out, b"\x3b"])
 
 
-def decode(data: bytes) -> Gif:
-    """Parses a file and expands its code streams; interlaced rows are put in order. GifError where the format is broken."""
+def decode(data: bytes, most: int = MAX_PIXELS) -> Gif:
+    """Parses a file; code streams are expanded frame by frame later. GifError where the format is broken."""
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise GifError("signature")
     width, height, flags, background, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > most:
+        raise GifError("canvas too large")
     at, palette = 13, b""
     if flags & 0x80:
         size = 3 << ((flags & 7) + 1)
         palette, at = data[at : at + size], at + size
-    frames: list[Frame] = []
+    frames: list[StoredFrame] = []
     delay, disposal, transparent, loops = 0, 0, None, None
     while True:
         if at >= len(data):
@@ -251,6 +287,8 @@ def decode(data: bytes) -> Gif:
         if kind != 0x2C or at + 10 > len(data):
             raise GifError("block type")
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > most:
+            raise GifError("frame too large")
         at += 10
         local = palette
         if flags & 0x80:
@@ -260,21 +298,14 @@ def decode(data: bytes) -> Gif:
             raise GifError("image data")
         minimum = data[at]
         body, at = _read_blocks(data, at + 1)
-        indices = lzw_unpack(body, minimum, w * h)
-        if flags & 0x40:
-            rows = np.frombuffer(indices.ljust(w * h, b"\0"), dtype=np.uint8).reshape(h, w)
-            order = [*range(0, h, 8), *range(4, h, 8), *range(2, h, 4), *range(1, h, 2)]
-            straight = np.empty_like(rows)
-            straight[order] = rows
-            indices = straight.tobytes()
-        frames.append(Frame(left, top, w, h, indices, local, delay, disposal, transparent))
+        frames.append(StoredFrame(left, top, w, h, body, minimum, bool(flags & 0x40), local, delay, disposal, transparent))
         delay, disposal, transparent = 0, 0, None
 
 
 def compose(gif: Gif) -> Iterator[tuple[int, int, np.ndarray]]:
     """(frame number, start in centiseconds, RGBA canvas) under the disposal and transparency rules:
-    2 clears the frame's rectangle afterwards, 3 restores what was there before."""
-    canvas = np.zeros((gif.height, gif.width, 4), dtype=np.uint8)
+    2 clears the frame's rectangle afterwards, 3 restores what was there before. A canvas is good until the next one is asked for."""
+    canvas = np.zeros((gif.height, gif.width), dtype=np.uint32)  # a pixel's four bytes as one number
     start = 0
     for number, f in enumerate(gif.frames):
         before = canvas.copy() if f.disposal == 3 else None
@@ -285,9 +316,12 @@ def compose(gif: Gif) -> Iterator[tuple[int, int, np.ndarray]]:
         index = np.frombuffer(f.indices.ljust(f.width * f.height, b"\0"), dtype=np.uint8).reshape(f.height, f.width)
         area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
         index = index[: area.shape[0], : area.shape[1]]
-        drawn = np.ones(index.shape, dtype=bool) if f.transparent is None else index != f.transparent
-        area[drawn] = colours[index][drawn]
-        yield number, start, canvas.copy()
+        drawn = colours.view(np.uint32).ravel()[index]
+        if f.transparent is None:
+            area[:] = drawn
+        else:
+            np.copyto(area, drawn, where=index != f.transparent)
+        yield number, start, canvas.view(np.uint8).reshape(gif.height, gif.width, 4)
         start += f.delay_cs
         if f.disposal == 2:
             area[:] = 0
@@ -295,10 +329,12 @@ def compose(gif: Gif) -> Iterator[tuple[int, int, np.ndarray]]:
             canvas = before
 
 
-def histogram(rgba: np.ndarray) -> list[int]:
+def histogram(rgba: np.ndarray) -> np.ndarray:
     """Counts of opaque pixels in 64 cells: two bits of each of red, green and blue."""
-    opaque = rgba[rgba[..., 3] > 0].astype(np.int64) >> 6
-    return np.bincount(opaque[:, 0] << 4 | opaque[:, 1] << 2 | opaque[:, 2], minlength=64).tolist()
+    opaque = rgba.reshape(-1, 4)
+    if not opaque[:, 3].all():
+        opaque = opaque[opaque[:, 3] > 0]
+    return np.bincount(opaque[:, 0] >> 6 << 4 | opaque[:, 1] >> 6 << 2 | opaque[:, 2] >> 6, minlength=64)
 
 
 # samples --------------------------------------------------------------------
@@ -310,35 +346,36 @@ def pad(raw: bytes) -> bytes:
 
 
 def encode_samples(payload: bytes) -> bytes:
-    """payload (a multiple of 64 bytes) as a grey animation 64 samples wide, at most 1024 rows a frame."""
+    """payload (a multiple of 64 bytes) as an animation 64 samples wide, at most 1024 rows a frame."""
     step = WIDTH * ROWS_PER_FRAME
-    frames = [Frame(0, 0, WIDTH, len(part) // WIDTH, part, GREY, DELAY_CS, 1, None) for part in (payload[i : i + step] for i in range(0, len(payload), step))]
+    frames = [Frame(0, 0, WIDTH, len(part) // WIDTH, part, COLOURS, DELAY_CS, 1, None) for part in (payload[i : i + step] for i in range(0, len(payload), step))]
     return encode(WIDTH, max(f.height for f in frames), frames, loops=0)
 
 
-def read_samples(media: bytes) -> tuple[bytes, Gif]:
-    """The samples through the palette (red of each pixel's colour), frame after frame, and the parsed file."""
+def read_samples(media: bytes) -> tuple[bytes, Gif, np.ndarray]:
+    """The samples by the colours of each composed frame's rectangle, frame after frame, the parsed file, and the sum of the frames' histograms."""
     gif = decode(media)
-    parts = []
-    for f in gif.frames:
-        red = np.frombuffer(f.palette, dtype=np.uint8)[::3]
-        parts.append(red[np.frombuffer(f.indices, dtype=np.uint8)].tobytes())
-    return b"".join(parts), gif
+    parts, counts = [], np.zeros(64, dtype=np.int64)
+    for number, _, canvas in compose(gif):
+        f = gif.frames[number]
+        area = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+        parts.append((area[..., 0] >> 5 << 5 | area[..., 1] >> 5 << 2 | area[..., 2] >> 6).tobytes())
+        counts += histogram(area)
+    return b"".join(parts), gif, counts
 
 
-def sample_feature(payload: bytes, gif: Gif) -> str:
-    """Frames, length in centiseconds, and a histogram of 16 grey levels as hexadecimal counts."""
-    counts = np.bincount(np.frombuffer(payload, dtype=np.uint8) >> 4, minlength=16)
+def sample_feature(gif: Gif, counts: np.ndarray) -> str:
+    """Frames, length in centiseconds, and the colour histogram of what the frames show: the counts of 64 cells in hexadecimal."""
     return f"f{len(gif.frames)};t{sum(f.delay_cs for f in gif.frames)};h" + ",".join(f"{c:x}" for c in counts.tolist())
 
 
 FRAMES_SCHEMA = "frame_no int, start_cs long, delay_cs int, width int, height int, rgba binary, histogram array<int>"
 
 
-def decode_frames(media: DataFrame, key: str, column: str) -> DataFrame:
-    """media(key, column binary) -> key, error, and a row for each composed frame (FRAMES_SCHEMA).
+def decode_frames(media: DataFrame, key: str, column: str, most: int = MAX_PIXELS) -> DataFrame:
+    """media(key, column binary) -> key, error, and a row for each composed frame (FRAMES_SCHEMA), one frame at a time.
 
-    A null or broken file gives one row with its error and null frame columns; a file without frames gives none.
+    A null or broken file gives one row with its error and null frame columns, after the frames up to the break; a file without frames gives none.
     """
     key_type = media.schema[key].dataType.simpleString()
 
@@ -347,17 +384,15 @@ def decode_frames(media: DataFrame, key: str, column: str) -> DataFrame:
             kind = batch.schema.field(0).type
             schema = pa.schema([(key, kind), ("error", pa.string()), ("frame_no", pa.int32()), ("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int32()))])
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
+                row = lambda *cells: pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, schema.types, strict=True)], schema=schema)  # noqa: B023, E731
                 try:
                     if data is None:
                         raise GifError("null")
-                    gif = decode(data)
+                    gif = decode(data, most)
                     for number, start, canvas in compose(gif):
-                        rows.append((k, None, number, start, gif.frames[number].delay_cs, gif.width, gif.height, canvas.tobytes(), histogram(canvas)))
+                        yield row(k, None, number, start, gif.frames[number].delay_cs, gif.width, gif.height, canvas.tobytes(), histogram(canvas).tolist())
                 except GifError as e:
-                    rows = [(k, str(e), None, None, None, None, None, None, None)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+                    yield row(k, str(e), None, None, None, None, None, None, None)
 
     return common.crossed_out(media, key, column).mapInArrow(run, f"`{key}` {key_type}, error string, {FRAMES_SCHEMA}")
 
@@ -380,8 +415,8 @@ def media_digests(media: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def digest(data: bytes) -> tuple:
-        payload, gif = read_samples(data)
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), sample_feature(payload, gif)
+        payload, gif, counts = read_samples(data)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), sample_feature(gif, counts)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -393,4 +428,4 @@ def media_digests(media: DataFrame) -> DataFrame:
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(text_media(common.table(spark, sf_dir, "documents")))
+    return media_digests(common.written(text_media(common.table(spark, sf_dir, "documents")), "media"))
