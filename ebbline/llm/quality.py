@@ -1,7 +1,8 @@
 """Quality classifier by co-training: a text-content view and a page-metadata view.
 
-The text view is a logistic regression on hashed byte trigrams of the whole text,
-the metadata view one on language, source, length and layout counts. In each
+The text view is a logistic regression on hashed trigrams of the letters of the whole text
+(case and all that is no letter left out), the metadata view one on language, source, length and
+layout counts, which never reads which letters there are; so the views share no feature. In each
 of ``ROUNDS`` rounds both views score all unlabelled documents; those of which a
 view is most certain go, with its label, to the other view, which is fitted with
 them added. Both are calibrated on labelled documents that no fit has seen, and a
@@ -13,7 +14,7 @@ the most certain of all; their features (about 4 KB each) are what reaches the d
 
 Defined results: null text is empty text; null language or source is a value of
 its own; several labels of a document count as the lowest; a null quality is no
-label; without labels of both kinds every document has score 1 and is kept; other
+label; of rows that share a doc_id the one with the smallest (text, lang, source) stands for all in a fit; without labels of both kinds every document has score 1 and is kept; other
 columns, however named, are kept by ``keep_good``.
 """
 
@@ -45,9 +46,13 @@ for _b in range(256):
     _KIND[_b] = 7 if _b >= 128 else 1 if "a" <= _c <= "z" else 2 if "A" <= _c <= "Z" else 3 if "0" <= _c <= "9" else 4 if _c in " \t\n\r\x0b\x0c" else 5 if _c in ".,;:!?'\"" else 6 if 32 < _b < 127 else 0
 
 
+#: Letters in lower case and bytes beyond ASCII as they are; anything else is a gap.
+_LETTERS = bytes(b if chr(b).islower() and b < 128 or b >= 128 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
+
+
 def text_features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams: a vector of length one, or zero for short texts."""
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.uint32)
+    """Square roots of the shares of hashed trigrams of letters and gaps: a vector of length one, or zero for short texts."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass").translate(_LETTERS), dtype=np.uint8).astype(np.uint32)
     size = 1 << TEXT_BITS
     if len(data) < 3:
         return np.zeros(size, dtype=np.float32)
@@ -56,10 +61,12 @@ def text_features(text: str | None) -> np.ndarray:
 
 
 def page_features(text: str | None, lang: str | None, source: str | None) -> np.ndarray:
-    """Language and source (hashed slots), length, and counts of the layout: kinds of bytes, lines, words, repeats."""
+    """Language and source (hashed slots), length, and counts of the layout: letters and capitals, other kinds of bytes, lines, words, repeats."""
     text = text or ""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    kinds = np.bincount(_KIND[data], minlength=8) / max(len(data), 1)
+    shares = np.bincount(_KIND[data], minlength=8) / max(len(data), 1)
+    letters = shares[1] + shares[2] + shares[7]
+    kinds = [letters, shares[2] / max(letters, 1e-9), *shares[[0, 3, 4, 5, 6]]]
     words = text.split()
     lines = text.count("\n") + 1
     shape = [np.log1p(len(data)), np.log1p(lines), np.log1p(len(words) / lines), len(data) / max(len(words), 1) / 10, len(set(words)) / max(len(words), 1)]
@@ -211,9 +218,9 @@ def _features_of(view: DataFrame, ids: list[int]) -> dict[int, tuple[np.ndarray,
         made = [pa.array([text_features(t).astype(np.float16).tobytes() for t, _, _ in rows], pa.binary()), pa.array([page_features(*r).astype(np.float32).tobytes() for r in rows], pa.binary())]
         return pa.StructArray.from_arrays(made, ["text", "page"])
 
-    wanted = view.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")
-    rows = view.join(F.broadcast(wanted), "doc_id").select("doc_id", features("text", "lang", "source").alias("f")).select("doc_id", "f.text", "f.page").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["page"]), bytes(r["text"])), reverse=True)
+    wanted = view.sparkSession.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64())}))  # as Arrow: no Python worker makes these rows
+    one = view.join(F.broadcast(wanted), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source")).alias("r")).select("doc_id", "r.*")
+    rows = one.select("doc_id", features("text", "lang", "source").alias("f")).select("doc_id", "f.text", "f.page").collect()
     return {r["doc_id"]: (np.frombuffer(r["text"], dtype=np.float16).astype(np.float32), np.frombuffer(r["page"], dtype=np.float32)) for r in rows}
 
 
