@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 from array import array
 from collections.abc import Iterable, Iterator
@@ -199,7 +200,7 @@ class Transducer:
         way: list[tuple[int, int]] = []  # (place, token before it)
         while at < size:
             node, end, found = 0, at, []
-            for byte in piece[at:]:
+            for byte in piece[at:] if size - at < 256 else memoryview(piece)[at:]:  # a long rest is not copied at each token
                 node = walk(node << 8 | byte)
                 if node is None:
                     break
@@ -361,15 +362,18 @@ class ByteBpe:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
 
+    def stream_bytes(self, ids: list[int], chunk: int = 4096) -> Iterator[bytes]:
+        """The bytes of the ids, some tokens at a time."""
+        of = self.tokens.__getitem__
+        for at in range(0, len(ids), chunk):
+            yield b"".join(map(of, ids[at : at + chunk]))
+
     def stream(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """Text as the ids arrive: an unfinished character waits for its other bytes."""
-        machine, part, tokens = Utf8Machine(), [], self.tokens
-        for i in ids:
-            part.append(tokens[i])
-            if len(part) >= chunk:
-                yield machine.feed(b"".join(part))
-                part = []
-        yield machine.feed(b"".join(part))
+        machine = Utf8Machine()
+        arriving = iter(ids)
+        while some := list(itertools.islice(arriving, chunk)):
+            yield from map(machine.feed, self.stream_bytes(some, chunk))
         yield machine.finish()
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -400,24 +404,26 @@ def encode_documents(documents: DataFrame, path: str, pattern: str) -> DataFrame
 
 
 def decode_digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """encode_documents' rows -> n_tokens and the digests of the ids and of the text that streaming decoding gives back."""
+    """encode_documents' rows -> n_tokens, the digests of the ids and of the decoded bytes, and whether the incremental machine reads these as whole UTF-8."""
     id_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(path, pattern)
         for batch in common.batches(stream, 4 << 20):
-            counts, ids_sha, text_sha = [], [], []
+            counts, ids_sha, text_sha, whole = [], [], [], []
             for data in batch.column(1).to_pylist():
                 ids = np.frombuffer(data, dtype="<u4").tolist()
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(data).hexdigest())
-                digest = hashlib.sha256()
-                for text in coder.stream(ids):
-                    digest.update(text.encode())
+                digest, machine, sound = hashlib.sha256(), Utf8Machine(), True
+                for raw in coder.stream_bytes(ids):
+                    digest.update(raw)
+                    sound = "\ufffd" not in machine.feed(raw) and sound
                 text_sha.append(digest.hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                whole.append(sound and not machine.held)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string()), pa.array(whole, pa.bool_())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_whole"])
 
-    return encoded.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_whole boolean")
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
