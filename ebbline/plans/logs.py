@@ -25,7 +25,8 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.select("seq", "op", (group + 1).alias("gno"), F.when(F.col("op") != "insert", old).alias("before"), F.when(F.col("op") != "delete", row).alias("after"))
 
 
-def _log(spark: SparkSession, sf_dir: str) -> str:
+def written_log(spark: SparkSession, sf_dir: str) -> str:
+    """Writes the log of the events and returns its folder."""
     folder = scratch.shared_dir(spark, "log")
     changes = _changes(spark, sf_dir)
     top = changes.agg(F.max("gno")).first()[0]
@@ -47,7 +48,7 @@ _TABLE = "CREATE TABLE users (id BIGINT PRIMARY KEY, kind VARCHAR(1000), value D
 def src1_binlog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row changes written as files and decoded again: frames, checksums, table maps, row images, transactions and typed columns."""
     table = ddl.parse(_TABLE).detail["table"]
-    rows = replay.typed(replay.changes(replay.read(spark, _log(spark, sf_dir)), include=["app.us%"]), table, "app", "users")
+    rows = replay.typed(replay.changes(replay.read(spark, written_log(spark, sf_dir)), include=["app.us%"]), table, "app", "users")
     return rows.select("gtid", "op", F.coalesce("after.id", "before.id").alias("id"), "after.kind", F.round("after.value", 6).alias("value"), "after.flag", "after.n", F.col("before.kind").alias("before_kind"))
 
 
@@ -58,14 +59,14 @@ def src1_binlog_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src5_replay_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table after groups 1 to 50, without those that were executed before."""
     table = ddl.parse(_TABLE).detail["table"]
-    changes = replay.changes(replay.read(spark, _log(spark, sf_dir)), executed=f"{SID}:10-20", stop_at=f"{SID}:1-9:21-50")
+    changes = replay.changes(replay.read(spark, written_log(spark, sf_dir)), executed=f"{SID}:10-20", stop_at=f"{SID}:1-9:21-50")
     return replay.snapshot(changes, table, "app", "users").withColumn("value", F.round("value", 6))
 
 
 @query("dec1_event_frames", f"SELECT kind, CAST(n AS BIGINT) AS n, true AS adjoin, true AS hashes FROM (SELECT 'rows' AS kind, count(*) AS n FROM events UNION ALL SELECT 'table_map', count(*) FROM events UNION ALL SELECT k, count(DISTINCT event_id // {PER_GROUP}) FROM events, (VALUES ('gtid'), ('begin'), ('xid')) v(k) GROUP BY k UNION ALL SELECT 'fde', {FILES} UNION ALL SELECT 'rotate', {FILES} - 1)")
 def dec1_event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of decoded events by kind, that they adjoin within their files, and that fingerprints are those of the files' bytes."""
-    folder = _log(spark, sf_dir)
+    folder = written_log(spark, sf_dir)
     events = replay.read(spark, folder).select("file", "offset", "next_pos", "kind", "sha256")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "bin.*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
     seen = events.join(files, "file").withColumn("same", F.sha2(F.substr(F.col("content"), (F.col("offset") + 1).cast("int"), (F.col("next_pos") - F.col("offset")).cast("int")), 256) == F.col("sha256")).drop("content")
@@ -76,7 +77,7 @@ def dec1_event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src3_adjacency", "SELECT 'bin.000003' AS file, 'gap' AS code UNION ALL SELECT 'bin.000003', 'rotation'")
 def src3_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive whose second file is left out."""
-    events = replay.read(spark, _log(spark, sf_dir)).where("file <> 'bin.000002'").select("file", "offset", "kind", "sql")
+    events = replay.read(spark, written_log(spark, sf_dir)).where("file <> 'bin.000002'").select("file", "offset", "kind", "sql")
     files = spark.createDataFrame([(0, "bin.000001"), (1, "bin.000003"), (2, "bin.000004")], "number int, file string")
     return archive.adjacency(events, files)
 
@@ -84,7 +85,7 @@ def src3_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("src4_validate", "SELECT 'baseline does not cover the first file''s previous set' AS reason UNION ALL SELECT 'archive and baseline do not cover the stop set'")
 def src4_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An archive that begins after number 7 on a baseline of 1 to 5, with a stop beyond its end."""
-    groups = replay.groups(replay.read(spark, _log(spark, sf_dir))).select(F.lit(SID).alias("sid"), F.lit("").alias("tag"), F.regexp_extract("gtid", r"(\d+)$", 1).cast("long").alias("gno"))
+    groups = replay.groups(replay.read(spark, written_log(spark, sf_dir))).select(F.lit(SID).alias("sid"), F.lit("").alias("tag"), F.regexp_extract("gtid", r"(\d+)$", 1).cast("long").alias("gno"))
     frame = lambda text: gtid.frame(spark, f"{SID}:{text}")
     available = gtid.islands(groups.where("gno > 7"), ["sid", "tag"], "gno")
     reasons = archive.validate(spark, available, frame("1-5"), frame("1-7"), frame("1-1000000000"))
@@ -95,7 +96,7 @@ def src4_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def src6_stream_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same files as a stream."""
     binlog.register(spark)
-    folder = _log(spark, sf_dir)
+    folder = written_log(spark, sf_dir)
     out = scratch.shared_dir(spark, "stream")
     stream = spark.readStream.format("binlog").option("tables", "app.users").load(folder).select("file", "offset", "kind")
     stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
