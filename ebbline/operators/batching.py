@@ -36,24 +36,29 @@ def count_batches(groups: DataFrame, number: str, size: int) -> DataFrame:
     return groups.withColumn("batch", F.floor(F.col(number) / size))
 
 
-def greedy_batches(groups: DataFrame, spans: list[str], order: str, rows: str, cost: str, table: str, policy: Policy) -> DataFrame:
+def greedy_batches(groups: DataFrame, spans: list[str], order: str, rows: str, cost: str, table: str, policy: Policy, time_ms: str | None = None) -> DataFrame:
     """groups with batch (from 0 in each span).
 
     A batch is closed before a group that would pass the rows or bytes limit (or that changes the table, if tables split),
     and after one that reaches the number of groups, the rows or the bytes. A group beyond a limit is a batch of its own.
+    With time_ms (when a group came, in milliseconds) a batch is also closed before a group that comes delay_ms or more after its first one.
     """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in groups.schema.fields)
-    at = {c: groups.columns.index(c) for c in (*spans, order, rows, cost, table)}
+    at = {c: groups.columns.index(c) for c in (*spans, order, rows, cost, table, *([time_ms] if time_ms else []))}
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span, batch, count, n, size, name = None, 0, 0, 0, 0, None
+        span, batch, count, n, size, name, began = None, 0, 0, 0, 0, None, None
         for piece in stream:
             out = []
-            for *key, r, c, t in zip(*[piece.column(at[s]).to_pylist() for s in spans], piece.column(at[rows]).to_pylist(), piece.column(at[cost]).to_pylist(), piece.column(at[table]).to_pylist(), strict=True):
+            times = piece.column(at[time_ms]).to_pylist() if time_ms else [None] * piece.num_rows
+            for *key, r, c, t, now in zip(*[piece.column(at[s]).to_pylist() for s in spans], piece.column(at[rows]).to_pylist(), piece.column(at[cost]).to_pylist(), piece.column(at[table]).to_pylist(), times, strict=True):
                 if key != span:
                     span, batch, count, n, size = key, 0, 0, 0, 0
-                if count and (n + r > policy.rows or size + c > policy.bytes or (policy.split_tables and t != name)):
+                aged = now is not None and began is not None and now - began >= policy.delay_ms
+                if count and (aged or n + r > policy.rows or size + c > policy.bytes or (policy.split_tables and t != name)):
                     batch, count, n, size = batch + 1, 0, 0, 0
+                if not count:
+                    began = now
                 out.append(batch)
                 count, n, size, name = count + 1, n + r, size + c, t
                 if count >= policy.transactions or n >= policy.rows or size >= policy.bytes:

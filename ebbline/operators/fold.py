@@ -65,11 +65,8 @@ def with_identity(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, list[
     """rows with grouping columns under which two rows are equal only if their bytes are: -0.0 and 0.0 differ."""
     names = []
     for i, c in enumerate(columns):
-        kind = dict(rows.dtypes)[c]
-        value: Column = F.col(c)
-        if kind in ("double", "float"):
-            value = F.when(F.col(c) == 0, F.col(c).cast("string")).otherwise(F.col(c).cast("string"))
-        rows = rows.withColumn(f"_i{i}", value)
+        number = dict(rows.dtypes)[c] in ("double", "float")  # as text, in which -0.0 and 0.0 differ
+        rows = rows.withColumn(f"_i{i}", F.col(c).cast("string") if number else F.col(c))
         names.append(f"_i{i}")
     return rows, names
 
@@ -111,6 +108,30 @@ def truncated(log: DataFrame, table: list[str], seq: str, op: str) -> DataFrame:
     return joined.where((F.col(op) != "truncate") & (F.col("_cut").isNull() | (F.col(seq) > F.col("_cut")))).drop("_cut")
 
 
+def group_problems(events: DataFrame, keys: list[str], transactional: bool = False) -> DataFrame:
+    """Groups that may not be applied, before any write: (keys, code), the first rule that a group breaks.
+
+    events, one row each, of assembled groups: outcome, gtid (null if anonymous), op (of row events: insert, update or delete; else null),
+    ends_statement, filtered, db and tbl. Codes: outcome (not committed), identity (no number), boundary (rows but no statement end),
+    dml.multiple_statements and dml.multiple_tables (unless transactional), operation. Groups whose row events are all filtered have nothing to apply.
+    """
+    rows, kept = F.col("is_rows"), F.col("is_rows") & ~F.coalesce(F.col("filtered"), F.lit(False))
+    table = F.when(kept, F.struct("db", "tbl"))
+    found = events.groupBy(*keys).agg(
+        F.every(F.col("outcome").eqNullSafe(F.lit("committed"))).alias("_committed"),
+        F.max("gtid").alias("_gtid"),
+        F.count_if(rows & F.coalesce(F.col("ends_statement"), F.lit(False))).alias("_ends"),
+        F.count_if(kept).alias("_kept"),
+        F.min(table).alias("_first"),
+        F.max(table).alias("_last"),
+        F.count_if(kept & ~F.coalesce(F.col("op").isin("insert", "update", "delete"), F.lit(False))).alias("_odd"),
+    )
+    code = F.when(~F.col("_committed"), "outcome").when(F.col("_gtid").isNull(), "identity").when(F.col("_kept") == 0, F.lit(None)).when(F.col("_ends") < 1, "boundary")
+    if not transactional:
+        code = code.when(F.col("_ends") > 1, "dml.multiple_statements").when(F.col("_first") != F.col("_last"), "dml.multiple_tables")
+    return found.withColumn("code", code.when(F.col("_odd") > 0, "operation")).where("code IS NOT NULL").select(*keys, "code")
+
+
 def flatten(groups: DataFrame, rows: str, order: list[str]) -> DataFrame:
     """Groups with an array of row changes -> a row for each change with its ordinal from 0, in source order."""
     rest = [c for c in groups.columns if c != rows]

@@ -23,13 +23,20 @@ def asof(events: DataFrame, order: str, keys: list[str], is_map: Column, clears:
 def temporal(events: DataFrame, history: DataFrame, keys: list[str], order: str, start: str = "valid_from", end: str = "valid_to") -> DataFrame:
     """Each event with the version of its key that is valid at its order: start <= order < end (a null end is open).
 
-    The join is by key; events without a version keep null columns.
+    Versions of a key don't overlap, and orders are whole numbers. Events and versions are laid in one order, so
+    the events of one hot table are spread over blocks; the version that begins last at or before an event is the only one
+    that can hold it. Events without a version, with a null key or a null order keep null columns.
     """
-    versions = history.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in history.columns if c not in keys])
-    on = (F.col(order) >= F.col(start)) & (F.col(end).isNull() | (F.col(order) < F.col(end)))
+    rest = [c for c in history.columns if c not in keys]
+    place = lambda c, side: (F.col(c).cast("decimal(20,0)") * 2 + side).cast("decimal(22,0)").alias("_place")
+    marks = history.select(*keys, F.struct(*rest).alias("_version"), place(start, 0))
+    rows = events.select(*keys, F.struct(*events.columns).alias("_event"), place(order, 1))
+    seen = running.running(rows.unionByName(marks, allowMissingColumns=True), keys, "_place", _held=("last", F.col("_version")))
+    known = F.col("_place").isNotNull()
     for k in keys:
-        on = on & (F.col(k) == F.col(f"_k_{k}"))
-    return events.join(versions, on, "left").drop(*[f"_k_{k}" for k in keys])
+        known = known & F.col(k).isNotNull()
+    valid = known & (F.col("_held")[end].isNull() | (F.col("_event")[order] < F.col("_held")[end]))
+    return seen.where("_event IS NOT NULL").select("_event.*", *[F.when(valid, F.col("_held")[c]).alias(c) for c in rest])
 
 
 def map_history(maps: DataFrame, history: DataFrame, offset: str = "offset", sha: str = "sha256", identity: tuple[str, ...] = ("table_id", "db", "tbl")) -> DataFrame:

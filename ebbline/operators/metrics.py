@@ -44,15 +44,22 @@ def retained_cost(values: Column) -> Column:
     return F.aggregate(values, F.lit(64).cast("long"), lambda acc, v: acc + F.coalesce(F.octet_length(v), F.lit(0)) + 48)
 
 
-def rate_window(samples: DataFrame, keys: list[str], time: str, count: str, seconds: int) -> DataFrame:
+def rate_window(samples: DataFrame, keys: list[str], time: str, count: str, seconds: int, stretch: int = 64) -> DataFrame:
     """samples with rate: growth of count a second over the window before each sample; null under a span of one second.
 
-    time: seconds as a number. The window is a frame by time, so late rows only matter inside it.
+    time: seconds as a number. The window is a frame by time, so late rows only matter inside it. Time is cut into
+    stretches of ``stretch`` windows; a sample also goes to the next stretch where frames still reach back to it, so no
+    task holds a whole source.
     """
-    frame = Window.partitionBy(*keys).orderBy(time).rangeBetween(-seconds, 0)
+    width = seconds * stretch
+    number = F.floor(F.col(time) / width)
+    near = F.col(time) - number * width >= width - seconds
+    copies = F.when(near, F.array(F.struct(number.alias("b"), F.lit(True).alias("own")), F.struct((number + 1).alias("b"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(number.alias("b"), F.lit(True).alias("own"))))
+    laid = samples.withColumn("_x", F.explode(copies)).withColumn("_stretch", F.col("_x.b")).withColumn("_own", F.col("_x.own")).drop("_x")
+    frame = Window.partitionBy(*keys, "_stretch").orderBy(time).rangeBetween(-seconds, 0)
     span = F.col(time) - F.first(time).over(frame)
     grown = F.col(count) - F.first(count).over(frame)
-    return samples.withColumn("rate", F.when(span >= 1, grown / span))
+    return laid.withColumn("rate", F.when(span >= 1, grown / span)).where("_own").drop("_stretch", "_own")
 
 
 def source_rate(samples: DataFrame, keys: list[str], order: str, time: str, produced: str) -> DataFrame:

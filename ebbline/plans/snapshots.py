@@ -199,3 +199,29 @@ def agg7_recovery_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ddl4_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = tables.event_log(spark, sf_dir).withColumn("op", F.when(F.col("seq") % 997 == 0, "truncate").otherwise(F.col("op")))
     return fold.truncated(log, ["event_type"], "seq", "op").groupBy("event_type").agg(F.count("*").alias("rows_after"), F.min("seq").alias("first_seq"))
+
+
+@query(
+    "mut1_group_checks",
+    """
+    SELECT event_id // 4 AS txn, CASE WHEN event_id // 4 % 10 = 3 THEN 'outcome' WHEN event_id // 4 % 10 = 4 THEN 'identity' WHEN event_id // 4 % 10 = 5 THEN 'boundary' WHEN event_id // 4 % 10 = 6 THEN 'dml.multiple_statements'
+      WHEN event_id // 4 % 10 = 7 THEN 'dml.multiple_tables' WHEN event_id // 4 % 10 = 8 THEN 'operation' END AS code
+    FROM events GROUP BY event_id // 4 HAVING count(*) = 4 AND event_id // 4 % 10 BETWEEN 3 AND 8
+    """,
+)
+def mut1_group_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of four events, of which two hold rows: of ten kinds of groups, six break one rule each and one has only filtered rows."""
+    kind, place = F.expr("event_id div 4 % 10"), F.col("event_id") % 4
+    events = tables.table(spark, sf_dir, "events").select(
+        F.expr("event_id div 4").alias("txn"),
+        F.when(kind == 3, "rolledBack").otherwise("committed").alias("outcome"),
+        F.when((kind != 4) & (place == 0), "u:1").alias("gtid"),
+        place.between(1, 2).alias("is_rows"),
+        ((kind != 5) & ((place == 2) | ((kind == 6) & (place == 1)))).alias("ends_statement"),
+        (kind == 9).alias("filtered"),
+        F.when(place.between(1, 2), F.when((kind == 8) | (kind == 9), "merge").otherwise("insert")).alias("op"),
+        F.lit("app").alias("db"),
+        F.when((kind == 7) & (place == 1), "u").otherwise("t").alias("tbl"),
+    )
+    whole = events.groupBy("txn").count().where("count = 4").select("txn")
+    return fold.group_problems(events.join(whole, "txn"), ["txn"])

@@ -193,3 +193,53 @@ def test_batches_run_again_replace_themselves(spark, tmp_path):
     sink.compact(spark)
     sink(frame(("a", 2, 80, "insert", None, 8, 8, None), ("a", 5, 81, "insert", None, 8, 9, None)), 3)
     assert state() == {7: 11, 1: 21, 9: 90, 50: 5, 8: 9}
+
+
+def test_json_as_sql():
+    import pytest
+
+    from ebbline.functions import jsondoc
+
+    typed = jsondoc.Typed
+    value = {"a": typed("DECIMAL", "-12.50"), "b": [1, typed("DATE", "2026-01-31"), typed("UNSIGNED INTEGER", "18446744073709551615")], "it's": typed("TIME", "-01:02:03.000004"), "x": None}
+    assert jsondoc.to_sql(value) == (
+        """JSON_SET(CAST('{"a":-12.50,"b":[1,"2026-01-31",18446744073709551615],"it''s":"-01:02:03.000004","x":null}' AS JSON),'$."a"',CAST('-12.50' AS DECIMAL(4,2)),"""
+        """'$."b"[1]',CAST('2026-01-31' AS DATE),'$."b"[2]',CAST(18446744073709551615 AS UNSIGNED),'$."it''s"',CAST('-01:02:03.000004' AS TIME(6)))"""
+    )
+    assert jsondoc.to_sql([1, "a\\b'"]) == """CAST('[1,"a\\\\\\\\b''"]' AS JSON)"""
+    blob, year = typed("BLOB", jsondoc.opaque_text(252, b"xyz")), typed("OPAQUE", jsondoc.opaque_text(13, b"2026"))
+    assert [jsondoc.scratch_type(x) for x in (blob, year, typed("BIT", jsondoc.opaque_text(16, b"ab")), typed("OPAQUE", jsondoc.opaque_text(15, b"abc")), typed("TIMESTAMP", "x"))] == ["BLOB", "YEAR", "BIT(16)", "VARBINARY(3)", "TIMESTAMP(6)"]
+    assert jsondoc.to_sql({"k": blob}, lambda path, leaf: f"(SELECT c FROM s WHERE p = '{path}')").endswith("""'$."k"',(SELECT c FROM s WHERE p = '$."k"'))""")
+    for broken in (blob, typed("GEOMETRY", "base64:type255:AA==")):
+        with pytest.raises(jsondoc.JsonError):
+            jsondoc.to_sql({"k": broken}, None if broken is blob else lambda path, leaf: "x")
+
+
+def test_batches_age(spark):
+    from ebbline.operators import batching
+
+    groups = spark.createDataFrame([(0, i, 1, 1, "t", t) for i, t in enumerate([0, 10, 24, 25, 49, 50, 200])] + [(1, 0, 1, 1, "t", 7)], "span int, seq int, n int, cost int, tbl string, ms long")
+    found = batching.greedy_batches(groups, ["span"], "seq", "n", "cost", "tbl", batching.Policy(), "ms").orderBy("span", "seq").collect()
+    assert [r.batch for r in found] == [0, 0, 0, 1, 1, 2, 3, 0]
+
+
+def test_versions_in_one_order(spark):
+    from ebbline.operators import joins
+
+    history = spark.createDataFrame([("t", 0, 5, "a"), ("t", 5, 9, "b"), ("t", 20, None, "c"), (None, 0, None, "n")], "k string, valid_from long, valid_to long, v string")
+    events = spark.createDataFrame([("t", i, i) for i in (-1, 0, 4, 5, 8, 9, 19, 20, 2**62)] + [(None, 3, 100), ("u", 3, 101), ("t", None, 102)], "k string, at long, id long")
+    found = {r.id: r.v for r in joins.temporal(events, history, ["k"], "at").collect()}
+    assert found == {-1: None, 0: "a", 4: "a", 5: "b", 8: "b", 9: None, 19: None, 20: "c", 2**62: "c", 100: None, 101: None, 102: None}
+
+
+def test_rate_windows_across_stretches(spark):
+    from pyspark.sql import functions as F
+    from pyspark.sql.window import Window
+
+    from ebbline.operators import metrics
+
+    samples = spark.range(400).select((F.col("id") % 3).alias("s"), (F.col("id") * 1.7).alias("t"), (F.col("id") * F.col("id")).alias("n"))
+    frame = Window.partitionBy("s").orderBy("t").rangeBetween(-30, 0)
+    span = F.col("t") - F.first("t").over(frame)
+    plain = samples.withColumn("rate", F.when(span >= 1, (F.col("n") - F.first("n").over(frame)) / span))
+    assert sorted(map(str, metrics.rate_window(samples, ["s"], "t", "n", 30, 2).collect())) == sorted(map(str, plain.collect()))
