@@ -74,7 +74,10 @@ def key_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
     row = df.select(F.col(key).cast(LongType()).alias("k")).agg(F.min("k"), F.percentile_approx("k", shares, 20000)).first()
     if row[0] is None:
         return []
-    return sorted({row[0], *(row[1] or [])} if parts > 1 else {row[0]})
+    near = sorted(set(row[1] or [])) if parts > 1 else []
+    # quantiles are doubles, so large keys are rounded: each becomes the first key from it on
+    exact = df.select(F.col(key).cast(LongType()).alias("k")).agg(*[F.min(F.when(F.col("k") >= b, F.col("k"))) for b in near]).first() if near else []
+    return sorted({row[0], *(b for b in exact if b is not None)})
 
 
 def crossed_out(df: DataFrame, *names: str) -> DataFrame:

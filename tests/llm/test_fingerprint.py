@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from ebbline.llm import lz_fingerprint as lz
 from tests.llm import fixtures
@@ -53,3 +54,13 @@ def test_few_documents(spark):
     assert lz.edited_fingerprints(fixtures.empty_documents(spark)).collect() == []
     one = lz.edited_fingerprints(spark.createDataFrame([(5, "abcabc")], "doc_id long, text string")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_large_ids_keep_every_row(spark):
+    """Ids beyond 2**53, which quantiles round."""
+    r = random.Random(3)
+    ids = sorted({r.getrandbits(63) - (1 << 62) for _ in range(60)} | {(1 << 60) + k for k in range(60)})
+    table = spark.createDataFrame([(i, f"text number {k} of some words {k * 7}") for k, i in enumerate(ids)], "doc_id long, text string")
+    found = sorted((x.doc_id, x.near_next) for x in lz.edited_fingerprints(table).collect())
+    texts = [f"text number {k} of some words {k * 7}" for k in range(len(ids))]
+    assert found == [(i, lz.likeness(lz.fingerprint(texts[k]), lz.fingerprint(texts[(k + 1) % len(ids)]))) for k, i in enumerate(ids)]
