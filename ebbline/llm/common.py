@@ -17,10 +17,22 @@ from pyspark.sql.types import LongType
 
 from ..scratch import shared_dir, written
 
-__all__ = ["batches", "bucket_of", "crossed_out", "key_bounds", "put_file", "shared_dir", "shuffle_parts", "table", "trim_memory", "written"]
+__all__ = ["batches", "bounded_batches", "bucket_of", "crossed_out", "key_bounds", "put_file", "shared_dir", "shuffle_parts", "table", "trim_memory", "written"]
+
+
+#: Bytes of a batch that goes to a Python worker, where the session has Spark's own bound.
+BATCH_BYTES = 8 << 20
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on Arrow batches from Spark's 64 MB to BATCH_BYTES; another bound stays. Whole texts fill batches, of which an executor holds several."""
+    if spark.conf.get(_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
