@@ -147,3 +147,12 @@ def test_packed_table(spark, library):
             end += length
         assert end <= limit
     assert packing.pack_documents(fixtures.empty_documents(spark), PATH).collect() == []
+
+
+def test_documents_reach_the_lower_bound(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack_documents(documents, PATH).select("length", "sequence_id").collect()
+    counts = np.bincount([r.length for r in rows], minlength=packing.LIMIT + 1)
+    rest = counts.copy()
+    fixed = sum(g.bins for g in packing.reduce_dominated(rest, packing.LIMIT))
+    assert len({r.sequence_id for r in rows}) <= packing.lower_bound(counts) + 1 and fixed > 0
