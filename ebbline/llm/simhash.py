@@ -13,14 +13,21 @@ without a descent. A bucket gives one link for each member at most, never all pa
 Components come from contraction rounds over written tables, with pointer doubling in
 each; copies of one fingerprint are joined to its component and never paired.
 
-``near_duplicates`` finds texts whose sets of word shingles have a Jaccard similarity of
-at least 0.8. Such texts may differ in more bits than pigeonhole blocks can bear, so
-their buckets are min-hashes of the shingles: four of them, of which such a pair shares
-each with the chance of its similarity (all four missed: under 0.2 ** 4 = 0.0016). Large
-buckets are dealt again by four further min-hashes. In a bucket the Gray-order index
+``near_duplicates`` links texts whose sets of word shingles have a Jaccard similarity of
+at least 0.8, so that every such pair is connected. Such texts may differ in more bits than
+pigeonhole blocks can bear, so their buckets are min-hashes of the shingles: four of
+them, of which such a pair shares each with the chance of its similarity. Large buckets
+are dealt again by four further min-hashes. In a bucket the Gray-order index
 gives the pairs within ``NEAR_BITS`` bits, of which ``FORESTS`` disjoint spanning forests of the
-closest are kept; each kept pair is then compared by its exact sets of shingles. A pair
-of over 0.8 that no kept pairs connect is lost; tests measure how many.
+closest are kept; each kept pair is then compared by its exact sets of shingles, and
+so is each text with the first of its very set of shingles.
+
+That joins most groups but may miss a pair, so ``rest_links`` gives every pair that can reach the
+similarity and is not connected by then. All texts order their shingles alike, those
+that a sample finds frequent last; two sets of that similarity share one of their first
+n - ceil(0.8 n) + 1 shingles. Holders of one of these are paired if the sizes,
+the places in the order and the sketches of both sets allow the similarity: each of these
+bounds holds for every pair, so none is lost. Then the exact sets decide.
 
 Defined results: null text is empty text; texts without words have fingerprint
 zero and are linked like others; a null doc_id is never the smallest; repeated rows
@@ -49,6 +56,10 @@ BUCKET = 1000
 NEAR_SHINGLE, SIMILARITY, NEAR_BITS, MINS, LEVELS = 5, 0.8, 20, 4, 4
 #: Disjoint spanning forests of close pairs that are compared exactly: up to so many pairs a text and bucket.
 FORESTS = 3
+#: Texts (about) whose shingles are counted for the order of rest_links, texts that make one frequent, frequent shingles held.
+SAMPLE, FREQUENT, HELD = 20_000, 3, 100_000
+#: Against rounding in bounds on sizes and similarities.
+EPS = 1e-9
 FANOUT = 8
 #: Links that one task labels in the last round of components.
 IN_ONE_TASK = 100_000
@@ -429,18 +440,83 @@ def components(links: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     return roots
 
 
-def sketches(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> DataFrame:
-    """texts(node, text) -> node, print, mins (the min-hashes), in one pass without a shuffle. node: text or bytes."""
+def frequent_shingles(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> np.ndarray:
+    """Hashes of the shingles that at least FREQUENT of about SAMPLE texts(node, text) hold, the rarest first: HELD at most.
+
+    Only the lower half of all hashes is counted: the order puts the others later anyhow.
+    """
+    every = max(1, -(-texts.count() // SAMPLE))
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.batches(stream, 1 << 20):
+            found = [np.unique(shingle_hashes(t or "", shingle)) for t in batch.column(0).to_pylist()]
+            found = [h[: np.searchsorted(h, np.uint64(1 << 63))] for h in found]
+            yield pa.RecordBatch.from_arrays([_lists(found)], names=["token"])
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text").mapInArrow(run, "token array<long>")
+    counts = some.select(F.explode("token").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    held = counts.orderBy(F.desc("n"), "token").limit(HELD).toArrow()
+    return held.column("token").to_numpy()[::-1].astype(np.int64).view(np.uint64)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 64-bit words as lists of signed longs."""
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays).astype(np.uint64, copy=False).view(np.int64)))
+
+
+class Prefixes:
+    """The first shingles of a set, in an order that all sets share: by hash, then the frequent ones, the rarest of them first."""
+
+    def __init__(self, frequent: np.ndarray, similarity: float) -> None:
+        order = np.argsort(frequent)
+        self.frequent, self.rank, self.similarity = frequent[order], order + 1, similarity
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        """found: ascending hashes. Sets of at least that similarity share one of those returned; a set without shingles has a zero."""
+        if not len(found):
+            return np.zeros(1, dtype=np.uint64)
+        keep = len(found) - int(np.ceil(self.similarity * len(found) - EPS)) + 1
+        if len(self.frequent):
+            place = np.minimum(np.searchsorted(self.frequent, found), len(self.frequent) - 1)
+            rank = np.where(self.frequent[place] == found, self.rank[place], 0)
+            if rank.any():
+                found = found[np.argsort(rank, kind="stable")]
+        return found[:keep]
+
+
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Bits that tell which low ends of hashes an odd number of different hashes has: two sets differ in at least as many hashes as their sketches in bits."""
+    size = min(max(256, 1 << (2 * len(found)).bit_length()), 1 << 20)
+    odd = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Bits in which two odd sketches differ; the longer is folded to the size of the other."""
+    x, y = sorted((np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)), key=len)
+    if len(x) < len(y):
+        y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def sketches(texts: DataFrame, shingle: int = NEAR_SHINGLE, prefixes: Prefixes | None = None) -> DataFrame:
+    """texts(node, text) -> node, h (a hash of node), print, mins (the min-hashes), and of the set of shingles: size, digest, odd (its odd sketch), prefix. One pass without a shuffle. node: text or bytes."""
+    prefixes = prefixes or Prefixes(np.zeros(0, dtype=np.uint64), SIMILARITY)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.batches(stream, 4 << 20):
-            hashes = [shingle_hashes(t or "", shingle) for t in batch.column(1).to_pylist()]
+            hashes = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
             prints = np.array([simhash(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            mins = np.array([min_hashes(h) for h in hashes], dtype=np.uint64).view(np.int64)
-            offsets = np.arange(len(hashes) + 1, dtype=np.int32) * mins.shape[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints), pa.ListArray.from_arrays(pa.array(offsets), pa.array(mins.ravel()))], names=["node", "print", "mins"])
+            hashes = [np.unique(h) for h in hashes]
+            digests = np.array([xxhash.xxh3_64_intdigest(h.tobytes()) for h in hashes], dtype=np.uint64).view(np.int64)
+            odd = pa.array([odd_sketch(h).tobytes() for h in hashes], pa.binary())
+            columns = [batch.column(0), batch.column(1), pa.array(prints), _lists([min_hashes(h) for h in hashes])]
+            columns += [pa.array([len(h) for h in hashes], pa.int64()), pa.array(digests), odd, _lists([prefixes(h) for h in hashes])]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "h", "print", "mins", "size", "digest", "odd", "prefix"])
 
-    return texts.select("node", "text").mapInArrow(run, f"node {_kind(texts)}, print long, mins array<long>")
+    columns = f"node {_kind(texts)}, h long, print long, mins array<long>, size long, digest long, odd binary, prefix array<long>"
+    return texts.select("node", F.xxhash64("node").alias("h"), "text").mapInArrow(run, columns)
 
 
 def _kind(texts: DataFrame) -> str:
@@ -465,33 +541,103 @@ def min_bucketed(made: DataFrame, largest: int = BUCKET) -> DataFrame:
     return ready.unionByName(rows.drop("mins"))
 
 
-def near_duplicates(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = NEAR_BITS, largest: int = BUCKET, rows_at_once: int = 100_000) -> DataFrame:
-    """Different texts(node, text) -> links (a, b) of exact similarity at least ``similarity``. node: text or bytes, unique.
-
-    A null text is the empty text; texts without words are alike. Each bucket gives some forests, never all its pairs.
-    """
-
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buckets, (_, nodes, prints_) in _by_bucket(stream, 1, rows_at_once):
-            index = GrayIndex(buckets, np.ascontiguousarray(prints_.to_numpy()).view(np.uint64))
-            a, b = (nodes.take(pa.array(index.order[x])) for x in index.closest(bits))
-            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+def alike_pairs(texts: DataFrame, links: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Those of links (a, b) between different nodes whose texts(node, text) have at least that similarity, each once; written."""
 
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([jaccard(x or "", y or "", shingle) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    parts = common.shuffle_parts(texts.sparkSession)
-    dealt = min_bucketed(sketches(texts, shingle), largest).repartition(parts, "key").sortWithinPartitions("key")
-    kind = _kind(texts)
-    links = dealt.select("key", "node", "print").mapInArrow(run, f"a {kind}, b {kind}")
-    links = common.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+    links = common.written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "near-links")
     # the texts of linked nodes, by a hash of the node: a small table where links are few, so that the texts need not be shuffled for it
     linked = links.select(F.xxhash64("a").alias("h")).unionByName(links.select(F.xxhash64("b").alias("h"))).distinct()
     linked = common.written(linked, "near-linked")
     held = common.written(texts.join(linked, F.xxhash64("node") == F.col("h"), "left_semi").select("node", "text"), "near-texts")
     pairs = links.join(held.select(F.col("node").alias("a"), F.col("text").alias("one")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
-    return pairs.where(alike("one", "other") >= similarity).select("a", "b")
+    return common.written(pairs.where(alike("one", "other") >= similarity).select("a", "b"), "near-alike")
+
+
+def close_links(made: DataFrame, bits: int = NEAR_BITS, largest: int = BUCKET, rows_at_once: int = 100_000) -> DataFrame:
+    """sketches -> links (a, b) that are likely alike: of each bucket of min-hashes some forests of prints within ``bits``, and all texts of one set of shingles to the first."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buckets, (_, nodes, prints_) in _by_bucket(stream, 1, rows_at_once):
+            index = GrayIndex(buckets, np.ascontiguousarray(prints_.to_numpy()).view(np.uint64))
+            a, b = (nodes.take(pa.array(index.order[x])) for x in index.closest(bits))
+            yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"])
+
+    parts = common.shuffle_parts(made.sparkSession)
+    dealt = min_bucketed(made.select("node", "print", "mins"), largest).repartition(parts, "key").sortWithinPartitions("key")
+    kind = _kind(made)
+    same = made.groupBy("digest").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("digest", "a")
+    same = made.select("digest", F.col("node").alias("b")).join(same, "digest").select("a", "b")
+    return dealt.select("key", "node", "print").mapInArrow(run, f"a {kind}, b {kind}").unionByName(same)
+
+
+def holder_pairs(buckets: np.ndarray, roots: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) arrays of the holders of one shingle (buckets, ascending) of different roots that may reach the similarity, if that shingle is the first both hold."""
+    order = np.lexsort((size, buckets))
+    first = np.r_[True, buckets[1:] != buckets[:-1]]
+    bucket, size, place, roots = np.cumsum(first)[order], size[order], place[order], roots[order]
+    # in a bucket by size, the partners of a row are those after it up to a size
+    width = int(size.max()) + 2
+    keys = bucket * width + size
+    stop = np.searchsorted(keys, bucket * width + np.minimum((size / similarity + EPS).astype(np.int64), width - 1), side="right")
+    count = stop - np.arange(len(keys)) - 1
+    busy = np.flatnonzero(count > 0)
+    ends = np.cumsum(count[busy])
+    at = 0
+    while at < len(busy):
+        done = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, done + chunk, side="right")))
+        some = busy[at:to]
+        x = np.repeat(some, count[some])
+        y = x + 1 + np.arange(len(x)) - np.repeat(ends[at:to] - count[some] - done, count[some])
+        both = np.minimum(size[x] - place[x], size[y] - place[y])
+        wanted = (roots[x] != roots[y]) & (both >= (size[x] + size[y]) * similarity / (1 + similarity) - EPS)
+        yield order[x[wanted]], order[y[wanted]]
+        at = to
+
+
+def rest_links(made: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, rows_at_once: int = 100_000) -> DataFrame:
+    """sketches, and node, root of those connected -> links (a, b): all pairs of different roots of at least that similarity are among them."""
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for buckets, columns in _by_bucket(stream, 1, rows_at_once):
+            h, root, size, place = (c.to_numpy() for c in columns[1:])
+            shared = np.bincount(buckets)[buckets] > 1
+            if not shared.any():
+                continue
+            h = h[shared]
+            for x, y in holder_pairs(buckets[shared], root[shared], size[shared], place[shared], similarity):
+                pairs = np.unique(np.stack([np.minimum(h[x], h[y]), np.maximum(h[x], h[y])], axis=1), axis=0)
+                for k in range(0, len(pairs), 1 << 16):
+                    part = pairs[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["ha", "hb"])
+
+    @F.pandas_udf("long")
+    def differ(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([least_difference(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+    parts = common.shuffle_parts(made.sparkSession)
+    rooted = made.join(roots, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", F.posexplode("prefix").alias("place", "token"))
+    dealt = rooted.select("token", "h", "root", "size", F.col("place").cast("long").alias("place")).repartition(parts, "token").sortWithinPartitions("token")
+    pairs = common.written(dealt.mapInArrow(run, "ha long, hb long").distinct(), "near-rest")
+    for end in ("a", "b"):
+        pairs = pairs.join(made.select(F.col("h").alias(f"h{end}"), F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("odd").alias(f"odd_{end}")), f"h{end}")
+    most = (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + EPS
+    return pairs.where(differ("odd_a", "odd_b") <= most).select("a", "b")
+
+
+def near_duplicates(texts: DataFrame, similarity: float = SIMILARITY, shingle: int = NEAR_SHINGLE, bits: int = NEAR_BITS, largest: int = BUCKET, rows_at_once: int = 100_000) -> DataFrame:
+    """Different texts(node, text) -> links (a, b) of exact similarity at least ``similarity``, which connect all such pairs. node: text or bytes, unique.
+
+    A null text is the empty text; texts without words are alike. Each bucket gives some forests, never all its pairs.
+    """
+    made = common.written(sketches(texts, shingle, Prefixes(frequent_shingles(texts, shingle), similarity)), "near-sketches")
+    close = alike_pairs(texts, close_links(made, bits, largest, rows_at_once), similarity, shingle)
+    rest = alike_pairs(texts, rest_links(made, components(close), similarity, rows_at_once), similarity, shingle)
+    return close.unionByName(rest)
 
 
 def near_groups(documents: DataFrame, most: int = MAX_BITS, shingle: int = SHINGLE) -> DataFrame:

@@ -124,6 +124,60 @@ def test_near_duplicates_against_all_pairs(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "node string, text string")).collect() == []
 
 
+def connected(names, pairs):
+    """The smallest name that chains of pairs reach, for each name."""
+    root = {x: x for x in names}
+    for a, b in pairs:
+        old, new = max(root[a], root[b]), min(root[a], root[b])
+        if old != new:
+            root = {x: new if y == old else y for x, y in root.items()}
+    return root
+
+
+def test_near_duplicates_leave_no_pair_out(spark):
+    r = random.Random(8)
+    base = [t.split()[:150] for t in fixtures.texts(12)]
+    texts = dict.fromkeys(["", " ", "\n", "one", "One", "a b c d", "a b c d e f g h", "a b c d e f g h i", "b c d e f g h i"])
+    for k, words in enumerate(base):
+        half = len(words) // 2
+        texts |= dict.fromkeys(" ".join(x) for x in (words, words[:half] * 30 + words[half:], words[:half] + words[half:] * 30))  # nearly one set of shingles, far prints
+        for n in (60, 100, 130):  # prefixes about the threshold, and one changed word in so many
+            texts[" ".join(words[: n + k % 3])] = None
+            texts[" ".join(w if i % 40 != k else "other" for i, w in enumerate(words[:n]))] = None
+        texts[" ".join(words[:40] + [r.choice(words) for _ in range(7)])] = None
+    texts = list(texts)
+    names = [f"{i:04d}" for i in range(len(texts))]
+    pairs = [(names[j], names[i]) for i in range(len(texts)) for j in range(i) if plain_similarity(texts[i], texts[j]) >= 0.8]
+    table = spark.createDataFrame(list(zip(names, texts, strict=True)), "node string, text string")
+    for bits in (simhash.NEAR_BITS, 0):
+        found = [(x.a, x.b) for x in simhash.near_duplicates(table, bits=bits).collect()]
+        assert set(found) <= set(pairs) and len(found) == len(set(found))
+        assert connected(names, found) == connected(names, pairs), bits
+
+
+def test_bounds_hold_for_every_pair():
+    r = random.Random(9)
+    words = np.array(sorted({r.getrandbits(64) for _ in range(400)}), dtype=np.uint64)
+    prefixes = simhash.Prefixes(np.array(r.sample(words.tolist(), 60), dtype=np.uint64), 0.8)
+    for _ in range(300):
+        one = np.unique(np.array(r.sample(words.tolist(), r.randrange(1, 300)), dtype=np.uint64))
+        n = len(one)
+        other = np.unique(np.concatenate([one[r.sample(range(n), n - r.randrange(n // 8 + 1))], np.array(r.sample(words.tolist(), r.randrange(n // 10 + 1)), dtype=np.uint64)]))
+        both = len(np.intersect1d(one, other))
+        assert simhash.least_difference(simhash.odd_sketch(one).tobytes(), simhash.odd_sketch(other).tobytes()) <= n + len(other) - 2 * both
+        if both / (n + len(other) - both) >= 0.8:
+            x, y = prefixes(one), prefixes(other)
+            token = next(t for t in x if t in y)
+            places = np.array([x.tolist().index(token), y.tolist().index(token)])
+            found = list(simhash.holder_pairs(np.zeros(2, dtype=np.int64), np.array([1, 2]), np.array([n, len(other)]), places, 0.8))
+            assert sum(len(i) for i, _ in found) == 1
+    sizes = np.array([r.randrange(1, 30) for _ in range(60)])
+    buckets, roots = np.sort([r.randrange(5) for _ in sizes]), np.array([r.randrange(6) for _ in sizes])
+    for chunk in (1, 10, 1 << 20):
+        found = [tuple(sorted(p)) for x, y in simhash.holder_pairs(buckets, roots, sizes, np.zeros(60, dtype=np.int64), 0.8, chunk) for p in zip(x.tolist(), y.tolist(), strict=True)]
+        assert sorted(found) == [(i, j) for i in range(60) for j in range(i + 1, 60) if buckets[i] == buckets[j] and roots[i] != roots[j] and min(sizes[i], sizes[j]) * 5 >= max(sizes[i], sizes[j]) * 4]
+
+
 def test_long_chains_take_few_rounds(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 500), (7, 7)], "a long, b long")
     for most in (100_000, 20, 0):
