@@ -57,7 +57,7 @@ NEAR_SHINGLE, SIMILARITY, NEAR_BITS, MINS, LEVELS = 5, 0.8, 20, 4, 4
 #: Disjoint spanning forests of close pairs that are compared exactly: up to so many pairs a text and bucket.
 FORESTS = 3
 #: Texts (about) whose shingles are counted for the order of rest_links, texts that make one frequent, frequent shingles held.
-SAMPLE, FREQUENT, HELD = 20_000, 3, 100_000
+SAMPLE, FREQUENT, HELD = 10_000, 3, 100_000
 #: Against rounding in bounds on sizes and similarities.
 EPS = 1e-9
 FANOUT = 8
@@ -452,6 +452,7 @@ def frequent_shingles(texts: DataFrame, shingle: int = NEAR_SHINGLE) -> np.ndarr
             found = [np.unique(shingle_hashes(t or "", shingle)) for t in batch.column(0).to_pylist()]
             found = [h[: np.searchsorted(h, np.uint64(1 << 63))] for h in found]
             yield pa.RecordBatch.from_arrays([_lists(found)], names=["token"])
+        common.trim_memory()
 
     some = texts.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select("text").mapInArrow(run, "token array<long>")
     counts = some.select(F.explode("token").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
@@ -505,7 +506,7 @@ def sketches(texts: DataFrame, shingle: int = NEAR_SHINGLE, prefixes: Prefixes |
     prefixes = prefixes or Prefixes(np.zeros(0, dtype=np.uint64), SIMILARITY)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.batches(stream, 4 << 20):
+        for batch in common.batches(stream, 1 << 20):
             hashes = [shingle_hashes(t or "", shingle) for t in batch.column(2).to_pylist()]
             prints = np.array([simhash(h) for h in hashes], dtype=np.uint64).view(np.int64)
             hashes = [np.unique(h) for h in hashes]
@@ -514,6 +515,7 @@ def sketches(texts: DataFrame, shingle: int = NEAR_SHINGLE, prefixes: Prefixes |
             columns = [batch.column(0), batch.column(1), pa.array(prints), _lists([min_hashes(h) for h in hashes])]
             columns += [pa.array([len(h) for h in hashes], pa.int64()), pa.array(digests), odd, _lists([prefixes(h) for h in hashes])]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "h", "print", "mins", "size", "digest", "odd", "prefix"])
+        common.trim_memory()
 
     columns = f"node {_kind(texts)}, h long, print long, mins array<long>, size long, digest long, odd binary, prefix array<long>"
     return texts.select("node", F.xxhash64("node").alias("h"), "text").mapInArrow(run, columns)
@@ -574,7 +576,7 @@ def close_links(made: DataFrame, bits: int = NEAR_BITS, largest: int = BUCKET, r
     return dealt.select("key", "node", "print").mapInArrow(run, f"a {kind}, b {kind}").unionByName(same)
 
 
-def holder_pairs(buckets: np.ndarray, roots: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, chunk: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def holder_pairs(buckets: np.ndarray, roots: np.ndarray, size: np.ndarray, place: np.ndarray, similarity: float, chunk: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(i, j) arrays of the holders of one shingle (buckets, ascending) of different roots that may reach the similarity, if that shingle is the first both hold."""
     order = np.lexsort((size, buckets))
     first = np.r_[True, buckets[1:] != buckets[:-1]]
@@ -614,6 +616,7 @@ def rest_links(made: DataFrame, roots: DataFrame, similarity: float = SIMILARITY
                 for k in range(0, len(pairs), 1 << 16):
                     part = pairs[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["ha", "hb"])
+        common.trim_memory()
 
     @F.pandas_udf("long")
     def differ(a: pd.Series, b: pd.Series) -> pd.Series:
