@@ -601,30 +601,64 @@ def holder_pairs(buckets: np.ndarray, roots: np.ndarray, size: np.ndarray, place
         at = to
 
 
-def rest_links(made: DataFrame, roots: DataFrame, similarity: float = SIMILARITY, rows_at_once: int = 100_000) -> DataFrame:
+#: A holder of a shingle: its hash, hashes of the text's node and of its root, the size of the set, the place of the shingle.
+_HOLDER = np.dtype([("token", "<u8"), ("h", "<i8"), ("root", "<i8"), ("size", "<i4"), ("place", "<i4")])
+
+
+def rest_links(made: DataFrame, roots: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """sketches, and node, root of those connected -> links (a, b): all pairs of different roots of at least that similarity are among them."""
+    parts = common.shuffle_parts(made.sparkSession)
+    ranges = 16 * parts
+
+    def deal(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.batches(stream, 1 << 20):
+            h, root, size = (c.to_numpy() for c in batch.columns[:3])
+            tokens, count = batch.column(3).flatten().to_numpy().view(np.uint64), batch.column(3).value_lengths().to_numpy()
+            part = (tokens * _FACTORS[0] >> np.uint64(32)) % np.uint64(ranges)
+            held = np.empty(len(tokens), dtype=_HOLDER)
+            held["token"], held["h"], held["root"], held["size"] = tokens, np.repeat(h, count), np.repeat(root, count), np.repeat(size, count)
+            held["place"] = np.arange(len(tokens)) - np.repeat(np.cumsum(count) - count, count)
+            order = np.argsort(part, kind="stable")
+            held, part = held[order], part[order]
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            found = [x.tobytes() for x in np.split(held, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array(found, pa.binary())], names=["part", "held"])
+        common.trim_memory()
+
+    def paired(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(b"".join(blobs), dtype=_HOLDER)
+        held = held[np.argsort(held["token"], kind="stable")]
+        new = held["token"][1:] != held["token"][:-1]
+        shared = ~(np.r_[True, new] & np.r_[new, True])
+        held = held[shared]
+        if not len(held):
+            return
+        h, columns = held["h"], (held[c].astype(np.int64) for c in ("root", "size", "place"))
+        for x, y in holder_pairs(held["token"], *columns, similarity):
+            pairs = np.unique(np.stack([np.minimum(h[x], h[y]), np.maximum(h[x], h[y])], axis=1), axis=0)
+            for k in range(0, len(pairs), 1 << 16):
+                some = pairs[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], names=["ha", "hb"])
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for buckets, columns in _by_bucket(stream, 1, rows_at_once):
-            h, root, size, place = (c.to_numpy() for c in columns[1:])
-            shared = np.bincount(buckets)[buckets] > 1
-            if not shared.any():
-                continue
-            h = h[shared]
-            for x, y in holder_pairs(buckets[shared], root[shared], size[shared], place[shared], similarity):
-                pairs = np.unique(np.stack([np.minimum(h[x], h[y]), np.maximum(h[x], h[y])], axis=1), axis=0)
-                for k in range(0, len(pairs), 1 << 16):
-                    part = pairs[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part[:, 0].copy()), pa.array(part[:, 1].copy())], names=["ha", "hb"])
+        now, blobs = -1, []
+        for batch in stream:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if part != now:
+                    if blobs:
+                        yield from paired(blobs)
+                    now, blobs = part, []
+                blobs.append(blob)
+        if blobs:
+            yield from paired(blobs)
         common.trim_memory()
 
     @F.pandas_udf("long")
     def differ(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([least_difference(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
-    parts = common.shuffle_parts(made.sparkSession)
-    rooted = made.join(roots, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", F.posexplode("prefix").alias("place", "token"))
-    dealt = rooted.select("token", "h", "root", "size", F.col("place").cast("long").alias("place")).repartition(parts, "token").sortWithinPartitions("token")
+    rooted = made.join(roots, "node", "left").select("h", F.xxhash64(F.coalesce("root", "node")).alias("root"), "size", "prefix")
+    dealt = rooted.mapInArrow(deal, "part int, held binary").repartition(parts, "part").sortWithinPartitions("part")
     pairs = common.written(dealt.mapInArrow(run, "ha long, hb long").distinct(), "near-rest")
     for end in ("a", "b"):
         pairs = pairs.join(made.select(F.col("h").alias(f"h{end}"), F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("odd").alias(f"odd_{end}")), f"h{end}")
@@ -639,7 +673,7 @@ def near_duplicates(texts: DataFrame, similarity: float = SIMILARITY, shingle: i
     """
     made = common.written(sketches(texts, shingle, Prefixes(frequent_shingles(texts, shingle), similarity)), "near-sketches")
     close = alike_pairs(texts, close_links(made, bits, largest, rows_at_once), similarity, shingle)
-    rest = alike_pairs(texts, rest_links(made, components(close), similarity, rows_at_once), similarity, shingle)
+    rest = alike_pairs(texts, rest_links(made, components(close), similarity), similarity, shingle)
     return close.unionByName(rest)
 
 
