@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import replay, scratch
 from ..catalog import query
@@ -68,10 +69,12 @@ def dec1_event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of decoded events by kind, that they adjoin within their files, and that fingerprints are those of the files' bytes."""
     folder = written_log(spark, sf_dir)
     events = replay.read(spark, folder).select("file", "offset", "next_pos", "kind", "sha256")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "bin.*").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    seen = events.join(files, "file").withColumn("same", F.sha2(F.substr(F.col("content"), (F.col("offset") + 1).cast("int"), (F.col("next_pos") - F.col("offset")).cast("int")), 256) == F.col("sha256")).drop("content")
-    ends = events.groupBy("file").agg((F.min("offset") == 4) & (F.sum(F.col("next_pos") - F.col("offset")) == F.max("next_pos") - 4)).toDF("file", "adjoin")
-    return seen.join(ends, "file").groupBy("kind").agg(F.count("*").alias("n"), F.every("adjoin").alias("adjoin"), F.every("same").alias("hashes"))
+    seen = binlog.same_bytes(events, folder)
+    # one row for each file and kind: its span, from which adjoining follows
+    spans = seen.groupBy("file", "kind").agg(F.count("*").alias("n"), F.every("same").alias("same"), F.min("offset").alias("low"), F.sum(F.col("next_pos") - F.col("offset")).alias("bytes"), F.max("next_pos").alias("high"))
+    whole = Window.partitionBy("file")
+    adjoin = (F.min("low").over(whole) == 4) & (F.sum("bytes").over(whole) == F.max("high").over(whole) - 4)
+    return spans.withColumn("adjoin", adjoin).groupBy("kind").agg(F.sum("n").alias("n"), F.every("adjoin").alias("adjoin"), F.every("same").alias("hashes"))
 
 
 @query("src3_adjacency", "SELECT 'bin.000003' AS file, 'gap' AS code UNION ALL SELECT 'bin.000003', 'rotation'")

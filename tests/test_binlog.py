@@ -150,3 +150,97 @@ def test_data_source_reads_folders(spark, tmp_path):
     assert [(r.op, r.id) for r in rows] == [("insert", "-1"), ("insert", "2"), ("update", "2"), ("delete", None)]
     few = spark.read.format("binlog").option("tables", "app.other").load(str(tmp_path))
     assert few.where("rows IS NOT NULL").count() == 0
+
+
+def long_log(groups=200):
+    from ebbline.sources import binlog_writer
+
+    log = binlog_writer.LogEncoder()
+    for g in range(1, groups + 1):
+        log.gtid("00112233-4455-6677-8899-aabbccddeeff", g)
+        log.query("BEGIN", "app")
+        for k in range(40 if g == 50 else 2):
+            log.table_map(7, "app", "t", [("id", "bigint"), ("s", "varchar")])
+            log.rows("insert", 7, ["bigint", "varchar"], [[[g * 100 + k, None if k else f"é{g}" * (g % 9)]]])
+        log.xid(g)
+    return log
+
+
+def test_a_long_file_is_read_in_ranges(spark, tmp_path):
+    (tmp_path / "bin.000001").write_bytes(bytes(long_log().data))
+    (tmp_path / "bin.000002").write_bytes(bytes(sample().data))
+    binlog.register(spark)
+    load = lambda split: spark.read.format("binlog").option("split", split).load(str(tmp_path))
+    assert load(0).rdd.getNumPartitions() == 2
+    want = sorted(map(repr, load(0).collect()))
+    for split in (1000, 4099):
+        assert load(split).rdd.getNumPartitions() > 4
+        assert sorted(map(repr, load(split).collect())) == want
+    decoded = decode(long_log().data)
+    path = str(tmp_path / "bin.000001")
+    size = len(long_log().data)
+    for step in (97, 700, 5000):
+        bounds = [*range(0, size, step), None]
+        found = [r for low, high in zip(bounds, bounds[1:]) for r in binlog.read_file(path, None, low, high)]
+        assert [{**r, "file": "f"} for r in found] == decoded
+    (tmp_path / "bin.000001").write_bytes(bytes(long_log().data[:-3]))
+    with pytest.raises(Exception, match="truncated"):
+        load(1000).count()
+
+
+def test_an_event_inside_an_event_is_noticed(tmp_path):
+    """Bytes in a row that are a whole Query event for their very place: an error in ranges, never other rows."""
+    from ebbline.sources import binlog_writer
+
+    place = 500
+    inner = binlog_writer.LogEncoder(base=place)
+    inner.query("BEGIN", "")
+    log = binlog_writer.LogEncoder()
+    log.query("BEGIN", "app")
+    body = struct.pack("<IIBHH", 1, 0, 3, 0, 0) + b"app\0SELECT '"
+    pad = place - len(log.data) - binlog.HEADER.size - len(body)
+    log.event(2, body + b"x" * pad + bytes(inner.data) + b"'")
+    assert bytes(log.data)[place : place + len(inner.data)] == bytes(inner.data)
+    path = tmp_path / "bin.000001"
+    path.write_bytes(bytes(log.data))
+    assert [r["kind"] for r in binlog.read_file(str(path))] == ["fde", "begin", "statement"]
+    with pytest.raises(binlog.BinlogError, match="SPLIT"):
+        list(binlog.read_file(str(path), None, 0, place - 5))
+
+
+def test_parts_of_written_files_make_the_same_bytes(spark, tmp_path):
+    from ebbline.sources import binlog_writer
+
+    rows = [(1 if i < 60 else 2, i // 7 + 1 if i != 30 else 1, i, ("insert", "update", "delete")[i % 3], (i, "o") if i % 3 else None, None if i % 3 == 2 else (i, None if i % 4 else "é" * i)) for i in range(100)]
+    changes = spark.createDataFrame(rows, "file_no int, gno long, seq long, op string, before struct<id: long, s: string>, after struct<id: long, s: string>")
+    columns, sid = [("id", "bigint"), ("s", "varchar")], "00112233-4455-6677-8899-aabbccddeeff"
+    want = {n: binlog_writer.LogEncoder() for n in (1, 2, 3)}
+    for n, log in want.items():
+        now = None
+        for f, g, _, op, before, after in rows:
+            if f != n:
+                continue
+            if g != now:
+                if now is not None:
+                    log.xid(now)
+                now = g
+                log.gtid(sid, g)
+                log.query("BEGIN", "app")
+            log.table_map(7, "app", "t", columns)
+            log.rows(op, 7, ["bigint", "varchar"], [[list(v) for v in (before, after) if v is not None]])
+        if now is not None:
+            log.xid(now)
+        if n < 3:
+            log.rotate(f"bin.{n + 1:06d}")
+    for part in (3, 10, 1000):
+        folder = tmp_path / f"p{part}"
+        assert binlog_writer.write_log(changes, str(folder), columns, "app", "t", sid, 3, part=part) == 100
+        assert {p.name: p.read_bytes() for p in folder.iterdir()} == {f"bin.{n:06d}": bytes(log.data) for n, log in want.items()}
+
+
+def test_same_bytes(spark, tmp_path):
+    (tmp_path / "bin.000001").write_bytes(bytes(long_log(20).data))
+    binlog.register(spark)
+    events = spark.read.format("binlog").load(str(tmp_path)).selectExpr("file", "offset", "next_pos", "kind", "IF(kind = 'xid', sha2('x', 256), sha256) AS sha256")
+    found = {(r.kind, r.same) for r in binlog.same_bytes(events.repartition(3), str(tmp_path)).collect()}
+    assert ("xid", False) in found and all(same == (kind != "xid") for kind, same in found) and len(found) == 6
