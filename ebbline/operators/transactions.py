@@ -40,8 +40,8 @@ def assemble(events: DataFrame, order: str, kind: str, keys: list[str] = ()) ->
     return marked.withColumn("txn", F.when(open_, F.col("_starts"))).drop("_starts", "_ended", "_started")
 
 
-def transactions(assembled: DataFrame, order: str, kind: str, size: str, keys: list[str] = (), max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """One row for each group: first and last order, events, bytes, rows, outcome and error.
+def transactions(assembled: DataFrame, order: str, kind: str, size: str, keys: list[str] = (), max_events: int = MAX_EVENTS, max_bytes: int = MAX_BYTES, **more: Column) -> DataFrame:
+    """One row for each group: first and last order, events, bytes, rows, outcome and error, and an aggregate name=column more each.
 
     outcome: committed, rolledBack, statement, or incomplete where no end came. error: sequence (a rollback of rows), limit, or null.
     """
@@ -52,6 +52,7 @@ def transactions(assembled: DataFrame, order: str, kind: str, size: str, keys: l
         F.sum(size).alias("bytes"),
         F.sum(F.when(F.col(kind) == "rows", 1).otherwise(0)).alias("row_events"),
         F.max(F.when(F.col(kind).isin(*ENDS), F.col(kind))).alias("end"),
+        *[value.alias(name) for name, value in more.items()],
     )
     outcome = F.when(F.col("end").isin("xid", "commit"), "committed").when(F.col("end") == "rollback", "rolledBack").when(F.col("end") == "statement", "statement").otherwise("incomplete")
     error = F.when((F.col("end") == "rollback") & (F.col("row_events") > 0), "sequence").when((F.col("events") > max_events) | (F.col("bytes") > max_bytes), "limit")

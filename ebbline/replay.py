@@ -32,11 +32,18 @@ def read(spark: SparkSession, path: str, tables: Sequence[str] = ()) -> DataFram
 
 def groups(events: DataFrame) -> DataFrame:
     """One row for each transaction (file, txn): offsets, counts, outcome, error, gtid. Files are assembled independently."""
-    sized = events.withColumn("size", F.col("next_pos") - F.col("offset"))
-    assembled = transactions.assemble(sized, "offset", "kind", ["file"])
-    found = transactions.transactions(assembled, "offset", "kind", "size", ["file"])
-    numbers = assembled.where("kind = 'gtid'").select("file", "txn", "gtid")
-    return found.join(numbers, ["file", "txn"], "left")
+    return _groups(_assembled(events))
+
+
+def _assembled(events: DataFrame) -> DataFrame:
+    """file, offset, kind, gtid, size, txn of each event: what groups need, without the images of rows."""
+    narrow = events.select("file", "offset", "kind", "gtid", (F.col("next_pos") - F.col("offset")).alias("size"))
+    return transactions.assemble(narrow, "offset", "kind", ["file"])
+
+
+def _groups(assembled: DataFrame) -> DataFrame:
+    # a group has one start, so one number at most
+    return transactions.transactions(assembled, "offset", "kind", "size", ["file"], gtid=F.max(F.when(F.col("kind") == "gtid", F.col("gtid"))))
 
 
 def changes(events: DataFrame, include: Sequence[str] = (), ignore: Sequence[str] = (), executed: str = "", stop_at: str = "", after_transactions: int | None = None) -> DataFrame:
@@ -48,7 +55,8 @@ def changes(events: DataFrame, include: Sequence[str] = (), ignore: Sequence[str
     """
     spark = events.sparkSession
     events = scratch.written(events, "events")  # files are decoded once
-    found = groups(events).where("error IS NULL AND outcome IN ('committed', 'statement')")
+    assembled = scratch.written(_assembled(events), "assembled")
+    found = _groups(assembled).where("error IS NULL AND outcome IN ('committed', 'statement')")
     found = found.withColumn("file_no", F.regexp_extract("file", FILE_NUMBER, 1).cast("long")).withColumn("at", F.struct("file_no", "first"))
     found = found.withColumn("sid", F.regexp_extract("gtid", r"^([^:]+)", 1)).withColumn("tag", F.regexp_extract("gtid", r":([a-z_]\w*):", 1)).withColumn("gno", F.regexp_extract("gtid", FILE_NUMBER, 1).cast("long"))
     if executed:
@@ -71,10 +79,10 @@ def changes(events: DataFrame, include: Sequence[str] = (), ignore: Sequence[str
             found = gtid.prefix_until_covered(found, "place", ["sid", "tag"], "gno", target, after_transactions)
         else:
             found = found.where(F.col("place") < after_transactions)
-    sized = events.withColumn("size", F.col("next_pos") - F.col("offset"))
-    rows = transactions.assemble(sized, "offset", "kind", ["file"]).where("kind = 'rows' AND NOT filtered")
-    rows = rows.where(~filters.ignored(F.col("db"), F.col("tbl"), include, ignore))
-    kept = rows.drop("gtid").join(found.select("file", "txn", "gtid", "file_no"), ["file", "txn"])
+    # places of the row events of the groups that stay; their images are shuffled once, or not at all where few stay
+    rows = events.where("kind = 'rows' AND NOT filtered").where(~filters.ignored(F.col("db"), F.col("tbl"), include, ignore))
+    places = assembled.where("kind = 'rows'").select("file", "offset", "txn").join(found.select("file", "txn", "gtid", "file_no"), ["file", "txn"]).drop("txn")
+    kept = rows.drop("gtid").join(scratch.written(places, "places"), ["file", "offset"])
     exploded = kept.select("file_no", "offset", "gtid", "db", "tbl", (F.col("row_flags").bitwiseAND(F.lit(2)) == 0).alias("fk_checks"), F.posexplode("rows").alias("row_ordinal", "r"))
     return exploded.select("file_no", "offset", "row_ordinal", "gtid", "db", "tbl", "fk_checks", "r.op", "r.before", "r.after")
 
