@@ -70,6 +70,7 @@ def changes(events: DataFrame, include: Sequence[str] = (), ignore: Sequence[str
         base = running.running(per_file, [], "x", inclusive=False, base=("sum", F.col("n"))).select("file_no", "base")
         counted = running.running(found, ["file_no"], "first", inclusive=False, within=("sum", F.lit(1)))
         found = counted.join(base, "file_no").withColumn("place", F.col("base") + F.col("within")).drop("base", "within")
+        found = scratch.written(found, "groups")  # the stop is found in several jobs
         target = gtid.frame(spark, stop_at) if stop_at else None
         if target is not None and not gtid.uncovered(target, _seen(spark, found, executed), ["sid", "tag"]).isEmpty():
             raise ReplayError("the archive ends before its groups cover the stop set")
