@@ -244,3 +244,16 @@ def test_same_bytes(spark, tmp_path):
     events = spark.read.format("binlog").load(str(tmp_path)).selectExpr("file", "offset", "next_pos", "kind", "IF(kind = 'xid', sha2('x', 256), sha256) AS sha256")
     found = {(r.kind, r.same) for r in binlog.same_bytes(events.repartition(3), str(tmp_path)).collect()}
     assert ("xid", False) in found and all(same == (kind != "xid") for kind, same in found) and len(found) == 6
+
+
+def test_stream_and_batch_deal_a_long_file_in_ranges(tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+    (tmp_path / "bin.000001").write_bytes(bytes(long_log().data))
+    schema = StructType([StructField("file", StringType()), StructField("offset", LongType()), StructField("kind", StringType())])
+    options = {"path": str(tmp_path), "split": "1000"}
+    stream, reader = binlog._Stream(schema, options), binlog._Reader(schema, options)
+    want = [(r["offset"], r["kind"]) for r in decode(long_log().data)]
+    for source, parts in ((stream, stream.partitions({"after": -1}, stream.latestOffset())), (reader, reader.partitions())):
+        assert len(parts) > 10
+        assert [(r["offset"], r["kind"]) for p in parts for b in source.read(p) for r in b.to_pylist()] == want
